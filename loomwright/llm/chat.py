@@ -2,7 +2,7 @@
 
 Each turn is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside roles and texts a
 backslash is doubled and ``<|`` becomes ``<\\|``, so that no content can hold a control string;
-line feeds in roles become ``\\n``. The rendered text is parsed again and the recovered turns are
+line feeds in roles become ``<\\n``. The rendered text is parsed again and the recovered turns are
 compared with the source (``round_trip``).
 
 Null texts and roles are empty. A null conversation id is one conversation. Ties in ``turn`` are
@@ -27,7 +27,7 @@ def unescape(c: Column) -> Column:
 
 
 def escape_role(c: Column) -> Column:
-    return F.replace(escape(c), F.lit("\n"), F.lit("\\n"))
+    return F.replace(escape(c), F.lit("\n"), F.lit("<\\n"))
 
 
 def parse(formatted: Column) -> Column:
@@ -57,7 +57,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
         F.transform(
             parse(F.col("formatted")),
             lambda t: F.struct(
-                unescape(F.replace(t["role"], F.lit("\\n"), F.lit("\n"))).alias("role"), unescape(t["text"]).alias("text")
+                unescape(F.replace(t["role"], F.lit("<\\n"), F.lit("\n"))).alias("role"), unescape(t["text"]).alias("text")
             ),
         ),
     )

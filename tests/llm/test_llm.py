@@ -4,7 +4,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from loomwright.llm import chat, jaccard, mixing, quality, tokens, urls
+from loomwright.llm import chat, decontaminate, jaccard, language_model, lines, mixing, quality, substrings, tokens, urls
 
 from . import brute
 
@@ -35,7 +35,7 @@ def test_quality(spark):
     assert got[0].n_words == got[1].n_words == got[2].n_words == 0 and got[0].base_failed and not got[0].kept
     assert got[6].n_words == got[6].n_repeat_words == 9000 and got[6].base_failed
     (one,) = quality.apply_rules(docs(spark, [(1, "x y z q x y z\nab\nab\n\n# ab")])).collect()
-    assert (one.n_words, one.n_repeat_words, one.n_dup_lines, one.n_symbols, one.word_chars) == (11, 6, 1, 1, 15)
+    assert (one.n_words, one.n_repeat_words, one.n_dup_lines, one.n_symbols, one.word_chars) == (11, 6, 1, 1, 14)
     assert quality.apply_rules(docs(spark, [])).count() == 0
 
 
@@ -87,3 +87,91 @@ def test_chat(spark):
     assert r.turns_sha256 == hashlib.sha256("".join(f"{x[2] or ''}\n{x[3] or ''}\n" for x in ordered).encode()).hexdigest()
     said = "".join(x[3] or "" for x in ordered if x[2] == "assistant")
     assert (r.loss_chars, r.loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_substrings(spark):
+    base = [f"v{i % 97}" for i in range(400)]
+    rows = [*ODD, (20, " ".join(base)), (21, " ".join(["q", *base[30:200], "r"])), (22, " ".join(base[:49])), (23, " ".join(base[100:150] + base[100:150])), (24, "z " * 120), (25, "z " * 200)]
+    rows += near()[10:40] + [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows = list({d: (d, t) for d, t in rows}.values())
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs(spark, rows)).collect()}
+    want = {d: (n, k, hashlib.sha256(" ".join(w).encode()).hexdigest()) for d, (n, k, w) in brute.repeats(rows).items()}
+    assert got == want
+    assert substrings.remove_repeats(docs(spark, [])).count() == 0
+
+
+def test_decontaminate(spark):
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    clean = "no passage of any benchmark stands in this text at all " * 5
+    edited = items[3][1][:60] + "#" + items[3][1][61:]
+    rows = [(0, None), (1, ""), (2, clean), (3, f"x {items[0][1]} y"), (4, clean + items[1][1].upper().replace("É", "é")), (5, edited), (6, items[5][1][:40])]
+    b = spark.createDataFrame([*items, (900, None), (901, "")], "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(docs(spark, rows), b).collect()}
+    assert got == {0: [], 1: [], 2: [], 3: [0], 4: [1], 5: [3], 6: []}
+    assert decontaminate.decontaminate(docs(spark, rows), b.limit(0)).where("contaminated").count() == 0
+    whole = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: set(r.item_ids) for r in decontaminate.decontaminate(docs(spark, whole), b).collect()}
+    flat = lambda t: " ".join(brute.WORD.findall(t.translate(brute.LOWER)))
+    for d, t in whole:
+        assert {i for i, x in items if flat(x) in flat(t)} <= got[d]
+
+
+def test_language_model(spark):
+    import duckdb
+
+    rows = [*ODD, *[(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]]
+    got = {r.doc_id: r for r in language_model.score(docs(spark, rows)).collect()}
+    con = duckdb.connect()
+    con.sql("CREATE TABLE docs (doc_id BIGINT, text VARCHAR, held BOOLEAN)")
+    con.executemany("INSERT INTO docs VALUES (?, ?, ?)", [(d, t, zlib.crc32(str(d).encode()) % 5 == 1) for d, t in rows])
+    for d, n, known, total, base in con.sql(language_model.BASE_SQL).fetchall():
+        r = got.pop(d)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (n, known, total, zlib.crc32(str(d).encode()) % 5 == 1)
+        assert r.base_score == pytest.approx(base) and r.score < 0
+    assert not got
+    assert language_model.score(docs(spark, [])).count() == 0
+
+
+def test_language_model_is_normalised_and_better_than_counts(spark):
+    import numpy as np
+
+    model = language_model.start_model(np.array([5.0, 3, 1]))
+    p = np.exp(language_model.log_probabilities(model, np.zeros(3, int), np.ones(3, int), np.arange(3)))
+    assert p.sum() == pytest.approx(1)
+    held = language_model.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+    assert held[0] > held[1]
+
+
+def test_lines(spark):
+    rows = [(0, None), (1, ""), (2, "a b c d e f g h i j\n\nx"), (3, "A b c d e f g h i j\nx y\n\nz"), (4, "a b c d e f g h i k"), (5, "a b c d e f g h q r"), (6, "x\nx")]
+    rows += [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    got = {r.doc_id: r for r in lines.dedup_lines(docs(spark, rows)).collect()}
+    before, want = [], {}
+    for d, t in sorted(rows):
+        keep = []
+        for x in [] if t is None else t.split("\n"):
+            s = set(brute.WORD.findall(x.translate(brute.LOWER)))
+            if not s or all(100 * len(s & y) < 80 * len(s | y) for y in before):
+                keep.append(x)
+            if s:
+                before.append(s)
+        want[d] = None if t is None else "\n".join(keep)
+    assert {d: r.text for d, r in got.items()} == want
+    assert lines.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    kept = corpus_pipeline.quality_stage(spark, d, SF)
+    assert kept.columns == d.columns and 0 < kept.count() < d.count()
+    one = corpus_pipeline.near_duplicate_stage(spark, kept, SF)
+    groups = brute.jaccard([(r.doc_id, r.text) for r in kept.collect()], 5, 80)
+    assert sorted(r.doc_id for r in one.collect()) == sorted({c for _, c in groups.values()})
+    clean = corpus_pipeline.decontamination_stage(spark, one, SF)
+    leaks = [r.text for r in items.collect()]
+    assert not [r.doc_id for r in clean.collect() if any(x in r.text for x in leaks)]
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() == corpus_pipeline.mixing_stage(spark, clean, SF).count() > 0
