@@ -1 +1,69 @@
-QUERIES, ORACLES = {}, {}
+"""The queries over the driver's tables and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import datasets, graph
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders call (part, supplier) pairs, are in customers; customers import nations."""
+    c, o, i = (_t(spark, sf_dir, x) for x in ("customer", "orders", "lineitem"))
+    imports = c.select(F.concat(F.lit("c:"), "c_custkey").alias("src"), F.concat(F.lit("n:"), "c_nationkey").alias("dst"), F.lit("IMPORTS").alias("etype"))
+    inside = o.select(F.concat(F.lit("o:"), "o_orderkey").alias("src"), F.concat(F.lit("c:"), "o_custkey").alias("dst"), F.lit("IN_MODULE").alias("etype"))
+    calls = i.select(F.concat(F.lit("o:"), "l_orderkey").alias("src"), F.concat(F.lit("e:"), "l_partkey", F.lit(":"), "l_suppkey").alias("dst"), F.lit("CALLS").alias("etype"))
+    return imports.union(inside).union(calls)
+
+
+_EDGES_SQL = """(SELECT 'c:' || c_custkey AS src, 'n:' || c_nationkey AS dst, 'IMPORTS' AS etype FROM customer
+UNION ALL SELECT 'o:' || o_orderkey, 'c:' || o_custkey, 'IN_MODULE' FROM orders
+UNION ALL SELECT 'o:' || l_orderkey, 'e:' || l_partkey || ':' || l_suppkey, 'CALLS' FROM lineitem)"""
+
+
+def qa_pattern1_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, c, o, i = (_t(spark, sf_dir, x) for x in ("nation", "customer", "orders", "lineitem"))
+    modules = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
+    left = o.join(modules, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("mid"), F.col("n_name").alias("library"))
+    right = i.select(F.col("l_orderkey").alias("mid"), F.concat_ws(":", "l_partkey", "l_suppkey").alias("external"), F.col("l_orderkey").alias("answer"))
+    return graph.unique_hops(left, right, ["library", "external"])
+
+
+QUERIES = {
+    "qa_pattern1_unique": qa_pattern1_unique,
+    "kg_edges_by_type": lambda s, d: graph.edges_by_type(_edges(s, d)),
+    "kg_edge_coalesce": lambda s, d: graph.coalesce_edges(_edges(s, d)),
+    "sharegpt_align_valid": lambda s, d: datasets.valid_conversations(_t(s, d, "conversations")),
+    "sharegpt_turn_pairs": lambda s, d: datasets.turn_pairs(_t(s, d, "conversations")),
+    "qa_dedup_first": lambda s, d: datasets.dedup_first(_t(s, d, "documents").select("doc_id", "text", "lang"), "text", "doc_id"),
+    "length_cdf": lambda s, d: datasets.length_histogram(_t(s, d, "documents"), 1000),
+    "kept_ratio": lambda s, d: datasets.kept_ratio(_t(s, d, "documents").join(_t(s, d, "labels"), "doc_id").withColumn("kept", F.col("quality") == 1), "kept", "lang", "source"),
+    "mix_interleave_under": lambda s, d: datasets.interleave_under(_t(s, d, "documents").select("doc_id", "lang"), "lang", "doc_id"),
+    "json_props_extract": lambda s, d: _t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
+}
+
+ORACLES = {
+    "qa_pattern1_unique": """SELECT n_name AS library, l_partkey || ':' || l_suppkey AS external, min(l_orderkey) AS answer
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey
+GROUP BY 1, 2 HAVING count(*) = 1""",
+    "kg_edges_by_type": f"SELECT etype, count(*) AS n FROM {_EDGES_SQL} GROUP BY etype",
+    "kg_edge_coalesce": f"SELECT src, dst, string_agg(DISTINCT etype, ',' ORDER BY etype) AS etypes FROM {_EDGES_SQL} GROUP BY src, dst",
+    "sharegpt_align_valid": """WITH f AS (SELECT conv_id, min(turn) AS t0, arg_min(role, turn) AS r0 FROM conversations GROUP BY conv_id),
+r AS (SELECT c.conv_id, role, row_number() OVER (PARTITION BY c.conv_id ORDER BY turn) AS i FROM conversations c JOIN f ON c.conv_id = f.conv_id AND NOT (r0 = 'system' AND turn = t0))
+SELECT conv_id, count(*) AS n_turns, count(*) % 2 = 0 AND bool_and(role = CASE WHEN i % 2 = 1 THEN 'user' ELSE 'assistant' END) AS valid FROM r GROUP BY conv_id""",
+    "sharegpt_turn_pairs": """SELECT conv_id, turn, prompt, text AS response FROM (SELECT *, lag(text) OVER w AS prompt, lag(role) OVER w AS before
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'assistant' AND before = 'user'""",
+    "qa_dedup_first": "SELECT doc_id, text, lang FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
+    "length_cdf": """WITH n AS (SELECT CAST(floor(length(text) / 1000) * 1000 AS BIGINT) AS bucket, count(*) AS n FROM documents GROUP BY 1)
+SELECT bucket, n, CAST(sum(n) OVER (ORDER BY bucket) AS DOUBLE) / (SELECT sum(n) FROM n) AS share FROM n""",
+    "kept_ratio": """SELECT lang, source, count(*) AS n, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_kept
+FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, source)""",
+    "mix_interleave_under": """WITH r AS (SELECT doc_id, lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS INTEGER) AS rank FROM documents)
+SELECT * FROM r WHERE rank <= (SELECT min(n) FROM (SELECT count(*) AS n FROM documents GROUP BY lang))""",
+    "json_props_extract": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+}
