@@ -13,7 +13,8 @@ _MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 def batch_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array]:
     """Offsets (one more than texts) into the words of all texts, and the words. Null: none."""
-    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    # A copy, as slices of a batch keep offsets that the lists below do not share.
+    texts = pc.fill_null(texts.cast(pa.large_string()), "").take(pa.array(np.arange(len(texts))))
     if lower:
         texts = pc.ascii_lower(texts)
     parts = pc.split_pattern_regex(texts, GAP)

@@ -41,18 +41,18 @@ def measures(docs: DataFrame) -> DataFrame:
     out = out.withColumn("_twins", F.coalesce(twins, F.array().cast("array<int>")))
     at = F.flatten(F.transform("_twins", lambda j: F.array(F.get("_t", j)["i"], F.get("_t", j + 1)["i"])))
     covered = F.size(F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(i, i + 1, i + 2)))))
-    out = out.withColumns(
-        {
-            "n_words": n.cast("long"),
-            "word_chars": F.length(F.regexp_replace(text, GAP, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-            "n_lines": F.size("_lines").cast("long"),
-            "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-            "n_repeat_words": covered.cast("long"),
-            "n_stop_words": F.size(F.filter(F.split(F.translate(text, UPPER, LOWER), GAP), lambda x: x.isin(*STOP_WORDS))).cast("long"),
-        }
-    )
-    return out.drop("_w", "_lines", "_t", "_twins")
+    found = {
+        "n_words": n.cast("long"),
+        "word_chars": F.length(F.regexp_replace(text, GAP, "")).cast("long"),
+        "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+        "n_lines": F.size("_lines").cast("long"),
+        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        "n_repeat_words": covered.cast("long"),
+        "n_stop_words": F.size(F.filter(F.split(F.translate(text, UPPER, LOWER), GAP), lambda x: x.isin(*STOP_WORDS))).cast("long"),
+    }
+    # A generator of one row: filters on measures are not pushed below it, where each array would be built anew for every use.
+    kept = [out[c] for c in docs.columns if c not in found]
+    return out.select(*kept, F.inline(F.array(F.struct(*[v.alias(k) for k, v in found.items()]))))
 
 
 def verdict(thresholds=THRESHOLDS) -> Column:
