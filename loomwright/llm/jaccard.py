@@ -12,7 +12,7 @@
 
 Every link lies within a component, and no link between components is lost. Null, empty and blank texts have an
 empty set and link with nothing; they are components of their own. Texts with fewer words than n have the whole
-sequence as their one n-gram. Rows that repeat a doc_id count as one document: the first by text. Other columns are ignored.
+sequence as their one n-gram. Rows that repeat a doc_id count as one document: the one with most n-grams. Other columns are ignored.
 An empty table gives none.
 """
 
@@ -64,22 +64,38 @@ def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, digest, keys."""
-    spec = "doc_id long, n_shingles long, digest binary, keys array<long>"
+def node_of(s: np.ndarray) -> int:
+    """A set's number: 63 bits of its digest."""
+    import hashlib
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
+    return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little") >> 1
+
+
+def set_ids(rows: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, node."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = list(text_sets(b.column("text"), n))
-            keys = [block_keys(s, percent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(k) for k in keys])]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.zeros(0, np.int64)]), pa.int64()))
-            digests = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), digests, lists], names=["doc_id", "n_shingles", "digest", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
+
+    return rows.mapInArrow(make, "doc_id long, n_shingles long, node long")
+
 
-    return docs.mapInArrow(make, spec)
+def block_rows(rows: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, key: the blocks of each set; a task gives those of equal sets once."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for b in batches:
+            for s in text_sets(b.column("text"), n):
+                node = node_of(s)
+                if len(s) and node not in done:
+                    done.add(node)
+                    keys = block_keys(s, percent).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node)), pa.array(keys)], names=["node", "key"])
+
+    return rows.select("text").mapInArrow(make, "node long, key long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -121,52 +137,49 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = stash(signatures(rows, n, percent), "signatures")
-    ids = base.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "digest")).alias("s")).select("doc_id", "s.*")
-    full = ids.where("n_shingles > 0")
-    reps = full.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    reps = stash(reps, "classes")
+    ids = set_ids(rows, n).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "node")).alias("s")).select("doc_id", "s.*")
+    ids = stash(ids, "ids")
+    reps = stash(ids.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
 
-    some = base.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi")
-    keys = some.select("doc_id", F.explode("keys").alias("key")).repartition(partitions(spark), "key")
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key")
-    members = stash(keys.join(shared, "key"), "members")
+    keys = block_rows(rows, n, percent).repartition(partitions(spark), "key")
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    members = stash(keys.join(shared, "key").distinct(), "members")
 
-    wanted = members.select("doc_id").distinct()
+    wanted = members.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id")).distinct()
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for b in batches:
-            sets = [s.tobytes() for s in text_sets(b.column("text"), n)]
-            digests = [hashlib.md5(s).digest() for s in sets]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(digests, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "digest", "s"])
+            sets = list(text_sets(b.column("text"), n))
+            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s"])
 
-    sets = rows.join(wanted, "doc_id").mapInArrow(as_sets, "doc_id long, digest binary, s binary")
-    chosen = reps.select(F.col("rep").alias("doc_id"), "digest")
-    sets = stash(sets.join(chosen, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "s"), "sets")
+    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(as_sets, "node long, s binary")
+    sets = stash(sets.dropDuplicates(["node"]), "sets")
 
     links, state = spark.createDataFrame([], "a long, b long"), None
     for k in range(HUBS + 1):
-        labelled = members.withColumn("c", F.col("doc_id")) if state is None else members.join(state, members["doc_id"] == state["node"], "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        labelled = members.withColumn("c", F.col("node")) if state is None else members.join(state, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
         if k < HUBS:
             # A hub is the least member of the least component, then of the greatest, then of the least again by a hash.
-            order = (F.struct("c", "doc_id"), F.struct(-F.col("c"), F.col("doc_id")), F.struct(F.xxhash64("c"), F.col("doc_id")))[k % 3]
-            hubs = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("doc_id").alias("hub"), F.col("c").alias("hc"))).alias("h")).select("key", "h.hub", "h.hc")
-            pairs = labelled.join(hubs, "key").where("c <> hc").select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b"))
+            order = (F.struct("c", "node"), F.struct(-F.col("c"), F.col("node")), F.struct(F.xxhash64("c"), F.col("node")))[k % 3]
+            hubs = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("c").alias("hc"))).alias("h")).select("key", "h.hub", "h.hc")
+            pairs = labelled.join(hubs, "key").where("c <> hc").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
             mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
             open_ = labelled.join(mixed, "key")
             other = open_.toDF("key", "b", "cb")
-            pairs = open_.join(other, "key").where("doc_id < b AND c <> cb").select(F.col("doc_id").alias("a"), "b")
+            pairs = open_.join(other, "key").where("node < b AND c <> cb").select(F.col("node").alias("a"), "b")
         found = stash(multiply(pairs.distinct(), sets, percent), "links")
         if not found.isEmpty():
             links = links.union(found)
             state = components(links)
-    rep_of = ids.join(reps, ["digest", "n_shingles"], "left")
-    out = rep_of if state is None else rep_of.join(state, rep_of["rep"] == state["node"], "left")
-    component = F.coalesce(*([] if state is None else ["component"]), "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    if state is None:
+        named = reps.withColumnRenamed("rep", "component_id")
+    else:
+        found = reps.join(state, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
+        least = found.groupBy("c").agg(F.min("rep").alias("component_id"))
+        named = found.join(least, "c").select("node", "component_id")
+    # Documents without a set meet no class; spread apart, as they all have the same node.
+    return ids.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id").union(ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
