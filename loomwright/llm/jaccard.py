@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .blocks import batch_words, gram_hashes, mix64, word_hashes
 from .common import partitions, small_batches, stash, table
 
-HUBS = 3
+HUBS = 5
 
 
 def text_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
@@ -162,7 +162,9 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             # A hub is the least member of the least component, then of the greatest, then of the least again by a hash.
             order = (F.struct("c", "node"), F.struct(-F.col("c"), F.col("node")), F.struct(F.xxhash64("c"), F.col("node")))[k % 3]
             hubs = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("c").alias("hc"))).alias("h")).select("key", "h.hub", "h.hc")
-            pairs = labelled.join(hubs, "key").where("c <> hc").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+            # One hub for each set in a round, so that a round copies no set more than twice.
+            near = labelled.join(hubs, "key").where("c <> hc").groupBy("node").agg(F.min(F.struct((F.xxhash64("hub") if k % 3 == 2 else F.col("hub") * (-1) ** k).alias("o"), "hub")).alias("h"))
+            pairs = near.select("node", F.col("h.hub").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
         else:
             mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
             open_ = labelled.join(mixed, "key")
