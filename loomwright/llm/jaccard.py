@@ -49,18 +49,25 @@ def class_top(c: int, percent: int) -> int:
 
 
 def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the blocks of a set, for its class and the next."""
+    """Keys of the blocks of a set, for its class and the next.
+
+    With more blocks holding an n-gram than the difference of linked sets, one of those blocks agrees; some
+    blocks to spare see to that. Only a set with too few of them also gives keys for its empty blocks: of
+    two such sets one block of all agrees, and of any other two one that holds an n-gram.
+    """
     c, keys = size_class(len(s), percent), []
     spread = mix64(s)
     for k in (c, c + 1):
-        # Sizes a <= b with both in classes k - 1 and k: a + b is at most this, and so is the difference.
+        # Sizes a <= b with both in classes k - 1 and k: a + b is at most this.
         most = 2 * class_top(k, percent)
-        blocks = (100 - percent) * most // (100 + percent) + 1
+        differ = (100 - percent) * most // (100 + percent)
+        blocks = differ + differ // 32 + 4
         at = (spread % np.uint64(blocks)).astype(np.int64)
         total = np.zeros(blocks, dtype=np.uint64)
         np.add.at(total, at, mix64(spread + np.uint64(0x1234567)))
-        # An empty block agrees with any other empty one; the pigeonhole counts it, so it is a key too.
-        keys.append(mix64(total ^ mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32))))
+        key = mix64(total ^ mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32)))
+        filled = np.bincount(at, minlength=blocks) > 0
+        keys.append(key[filled] if filled.sum() > differ else key)
     return np.concatenate(keys)
 
 
