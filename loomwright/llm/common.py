@@ -32,13 +32,30 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def stash(df: DataFrame, what: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage and outlives executors."""
+    """Write to the shared folder and read back: cuts lineage and outlives executors.
+
+    Shuffle files behind the written table are of no more use and go at once.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a stashed table that nothing reads any more."""
+    jvm = df.sparkSession._jvm
+    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(parent)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Few rows in each Arrow batch, as single texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

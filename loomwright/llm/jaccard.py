@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import batch_words, gram_hashes, mix64, word_hashes
-from .common import partitions, small_batches, stash, table
+from .common import discard, partitions, small_batches, stash, table
 
 HUBS = 5
 
@@ -114,7 +114,9 @@ def components(links: DataFrame) -> DataFrame:
         step = state.join(near, state["node"] == near["a"]).select("node", F.least("c", "m").alias("c"), F.col("c").alias("was"))
         up = step.select(F.col("node").alias("p"), F.col("c").alias("pc"))
         new = stash(step.join(up, step["c"] == up["p"]).select("node", F.least("c", "pc").alias("c"), "was"), "component")
+        discard(state)
         if new.where("c <> was").isEmpty():
+            discard(edges)
             return new.select("node", F.col("c").alias("component"))
         state = new.drop("was")
 
@@ -179,8 +181,12 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
             pairs = open_.join(other, "key").where("node < b AND c <> cb").select(F.col("node").alias("a"), "b")
         found = stash(multiply(pairs.distinct(), sets, percent), "links")
         if not found.isEmpty():
-            links = links.union(found)
+            links, old = links.union(found), state
             state = components(links)
+            if old is not None:
+                discard(old)
+    discard(members)
+    discard(sets)
     if state is None:
         named = reps.withColumnRenamed("rep", "component_id")
     else:
