@@ -12,6 +12,7 @@ empty table gives no files and no rows.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .blocks import batch_words
 from .common import fresh_path, partitions, small_batches, stash, table
 
 SEQUENCE, END_ID, CHUNK = 2048, 2, 512
@@ -67,6 +69,36 @@ def pack(ids: np.ndarray, length: int, pad: bool = False) -> tuple[pa.RecordBatc
     return pa.RecordBatch.from_arrays(columns, schema=_schema(length)), ids[used:]
 
 
+def words_stand_alone(tok) -> bool:
+    """Whether a text's ids are those of its words in turn: nothing the tokenizer does spans a gap or depends on one."""
+    spec = json.loads(tok.to_str())
+    norm, pre = spec["normalizer"] or {}, spec["pre_tokenizer"] or {}
+    norms = norm.get("normalizers", [norm] if norm else [])
+    first = pre.get("pretokenizers", [pre])[0]
+    ok = all(x["type"] in ("NFC", "Lowercase") or (x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"} and x["content"] == " ") for x in norms)
+    # The kept pieces are matches that hold no white space; everything else is removed.
+    pieces = [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
+    ok &= first.get("type") == "Split" and first["behavior"] == "Removed" and first["invert"] and first["pattern"].get("Regex") in pieces
+    return bool(ok and spec["truncation"] is None and spec["padding"] is None and not any(c.isspace() for t in spec["added_tokens"] for c in t["content"]))
+
+
+def encode(tok, texts: pa.Array, alone: bool) -> list[np.ndarray]:
+    """The ids of each text; where words stand alone, each distinct word of the batch is encoded once."""
+    if not alone:
+        return [np.array(e.ids, dtype=np.uint32) for e in tok.encode_batch_fast([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+    ends, found = batch_words(texts)
+    coded = found.dictionary_encode()
+    table = [e.ids for e in tok.encode_batch_fast(coded.dictionary.to_pylist(), add_special_tokens=False)]
+    sizes = np.array([len(x) for x in table], dtype=np.int64)
+    flat = np.array([i for x in table for i in x], dtype=np.uint32)
+    first, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+    n = sizes[at]
+    begin = np.cumsum(n) - n
+    ids = flat[np.repeat(first[at] - begin, n) + np.arange(n.sum())]
+    bounds = np.append(begin, len(ids))[ends]
+    return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
     """Write the shards; returns shard, path, n_docs, n_tokens."""
     spark, file = docs.sparkSession, tokenizer or default_tokenizer()
@@ -78,13 +110,13 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, len
         from tokenizers import Tokenizer
 
         tok, shard = Tokenizer.from_file(file), TaskContext.get().partitionId()
+        alone = words_stand_alone(tok)
         path, index = f"{folder}/shard-{shard:06d}", []
 
         def sequences():
             left = np.zeros(0, dtype=np.uint32)
             for b in batches:
-                got = tok.encode_batch_fast([x or "" for x in b.column("text").to_pylist()], add_special_tokens=False)
-                parts = [np.array([*e.ids, end_id], dtype=np.uint32) for e in got]
+                parts = [np.append(x, np.uint32(end_id)) for x in encode(tok, b.column("text"), alone)]
                 index.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(p) for p in parts], pa.int64())], schema=INDEX))
                 left = np.concatenate([left, *parts])
                 while len(left) >= length:
