@@ -175,16 +175,3 @@ def test_pipeline(spark):
     assert not [r.doc_id for r in clean.collect() if any(x in r.text for x in leaks)]
     out = corpus_pipeline.run(spark, SF)
     assert out.count() == corpus_pipeline.mixing_stage(spark, clean, SF).count() > 0
-
-
-def test_words_encoded_once(spark):
-    import random
-
-    import pyarrow as pa
-    from tokenizers import Tokenizer
-
-    tok, pick = Tokenizer.from_file(tokens.default_tokenizer()), random.Random(1)
-    odd = "aBéİΣς 's\t\n\x0b\x0c\r\x1c\x85 　<s></s>1٣#'"
-    texts = pa.array([None, "", *("".join(pick.choice(odd) for _ in range(pick.randint(0, 40))) for _ in range(2000))], pa.string())
-    assert tokens.words_stand_alone(tok)
-    assert [x.tolist() for x in tokens.encode(tok, texts, True)] == [x.tolist() for x in tokens.encode(tok, texts, False)]
