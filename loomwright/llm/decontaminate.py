@@ -1,9 +1,10 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts and items are lower-cased (A-Z) with one space between words. An item is one pattern, a long one several
-overlapping windows. A pattern of m characters found with at most e edits shares m - q + 1 - q * e q-grams with
-the text, on diagonals of one band; bands twice as wide overlap, so that one holds them all. Bands that
-meet the bound are verified by a banded alignment.
+Texts and items are lower-cased (A-Z) with one space between words. An item is one pattern; a long one has several
+overlapping windows besides, so that parts of it are found. A pattern of m characters found with at most e edits
+shares m - q + 1 - q * e q-grams with the text, on diagonals of one band; bands twice as wide overlap, so that one
+holds them all. Bands that meet the bound are verified by a banded alignment. Where the bound would fall below 1, a
+pattern has shorter q-grams.
 
 Null and empty texts match nothing; null, empty and repeated items add nothing. Repeated documents are judged alike.
 Columns of the input pass through; ``contaminated``, ``item_ids`` and ``spans`` of the input are replaced. Without items
@@ -47,12 +48,17 @@ def normal(texts: pa.Array) -> list[str]:
 
 
 def budget(m: int) -> int:
-    """Edits allowed in a pattern; the lemma's bound stays at half of its q-grams or more."""
-    return max(0, min(int(m * EDITS), (m - Q + 1) // (2 * Q)))
+    """Edits allowed in a pattern of m characters."""
+    return int(m * EDITS)
+
+
+def gram_size(m: int) -> int:
+    """Q, or the longest q that keeps the lemma's bound at 1 or more."""
+    return min(Q, m // (budget(m) + 1))
 
 
 class Patterns:
-    """Patterns of items and the sorted table of their q-grams."""
+    """Patterns of items and for each q the sorted table of their q-grams."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.code, self.short = [], [], []
@@ -60,17 +66,23 @@ class Patterns:
             c = codes(s)
             if 0 < len(c) < Q:
                 self.short.append((item_id, s))
-            for a in [*range(0, max(1, len(c) - LONGEST), LONGEST // 2), max(0, len(c) - LONGEST)] if len(c) > LONGEST else [0] if len(c) >= Q else []:
-                self.item.append(item_id)
-                self.code.append(c[a : a + LONGEST])
-        every = [grams(c) for c in self.code]
-        h = np.concatenate([*every, np.zeros(0, np.uint64)])
-        order = np.argsort(h, kind="stable")
-        self.pattern = np.repeat(np.arange(len(every)), [len(e) for e in every])[order]
-        self.at = np.concatenate([*[np.arange(len(e)) for e in every], np.zeros(0, np.int64)])[order].astype(np.int64)
-        self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
+            elif len(c):
+                parts = {(0, len(c)), *((a, a + LONGEST) for a in [*range(0, len(c) - LONGEST, LONGEST // 2), len(c) - LONGEST] if a >= 0)}
+                self.item.extend([item_id] * len(parts))
+                self.code.extend(c[a:b] for a, b in sorted(parts))
+        size = np.array([gram_size(len(c)) for c in self.code], dtype=np.int64)
         self.edits = np.array([budget(len(c)) for c in self.code], dtype=np.int64)
-        self.need = np.array([len(c) - Q + 1 - Q * budget(len(c)) for c in self.code], dtype=np.int64)
+        self.need = np.array([len(c) for c in self.code], dtype=np.int64) - size + 1 - size * self.edits
+        self.tables = [(int(q), *self.table(int(q), np.flatnonzero(size == q))) for q in np.unique(size)]
+
+    def table(self, q: int, which: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Pattern and place of each q-gram, sorted by hash; the distinct hashes, where each begins, how many it has."""
+        every = [grams(self.code[i], q) for i in which]
+        h = np.concatenate(every)
+        order = np.argsort(h, kind="stable")
+        pattern = np.repeat(which, [len(e) for e in every])[order]
+        at = np.concatenate([np.arange(len(e)) for e in every])[order].astype(np.int64)
+        return pattern, at, *np.unique(h[order], return_index=True, return_counts=True)
 
 
 def banded(pattern: np.ndarray, text: np.ndarray, e: int) -> int | None:
@@ -91,16 +103,25 @@ def find(p: Patterns, s: str) -> list[tuple[int, int, int]]:
     """(item_id, begin, end) in the normalised text; begin is of the region, end of the alignment."""
     out = [(item, s.find(t), s.find(t) + len(t)) for item, t in p.short if f" {t} " in f" {s} "]
     c = codes(s)
-    h = grams(c)
-    if not len(h) or not len(p.keys):
+    for t in p.tables:
+        out.extend(find_near(p, t, c))
+    return out
+
+
+def find_near(p: Patterns, table: tuple, c: np.ndarray) -> list[tuple[int, int, int]]:
+    """What find gives, for the patterns of one table."""
+    q, patterns, places, keys, first, count = table
+    out = []
+    h = grams(c, q)
+    if not len(h):
         return out
-    slot = np.minimum(np.searchsorted(p.keys, h), len(p.keys) - 1)
-    hit = np.flatnonzero(p.keys[slot] == h)
+    slot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+    hit = np.flatnonzero(keys[slot] == h)
     if not len(hit):
         return out
-    n = p.count[slot[hit]]
-    where = np.repeat(p.first[slot[hit]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-    pattern, at, pos = p.pattern[where], p.at[where], np.repeat(hit, n)
+    n = count[slot[hit]]
+    where = np.repeat(first[slot[hit]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+    pattern, at, pos = patterns[where], places[where], np.repeat(hit, n)
     # Two overlapping bands for each hit, of twice the stride's width.
     stride = p.edits[pattern] + 1
     band = (pos - at) // stride

@@ -116,6 +116,31 @@ def test_decontaminate(spark):
         assert {i for i, x in items if flat(x) in flat(t)} <= got[d]
 
 
+def test_decontaminate_up_to_the_stated_edits():
+    import random
+
+    def edited(t, e, rng, width=None):
+        """e edits of one character each at different places, within width characters if given."""
+        out, where = list(t), rng.sample(range(1, (width or len(t)) - 1), e)
+        for i in where:
+            out[i] = rng.choice(["#", "", out[i] + "#"])
+        return "".join(out)
+
+    rng = random.Random(3)
+    for m in (12, 19, 20, 21, 23, 24, 40, 60, 81, 100, 140, 200, 239, 240, 241, 300, 394, 1000):
+        item = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(m))
+        p, e = decontaminate.Patterns([(7, item)]), m // 20
+        for width in (None, max(e + 2, m // 3)):
+            for _ in range(20):
+                text = f"zzz {edited(item, e, rng, width)} zzz"
+                assert {i for i, *_ in decontaminate.find(p, text)} == {7}, (m, width)
+        assert not decontaminate.find(p, "?".join(item[a : a + 8] for a in range(0, m, 8)))  # more edits
+    for a in (0, 17, 120):  # parts of a long item that hold a whole window, edited
+        part = item[max(0, 480 - a) : 480 + 240 + a]
+        assert {i for i, *_ in decontaminate.find(p, f"zzz {edited(part, 12, rng)} zzz")} == {7}
+    assert not decontaminate.find(p, f"zzz {item[:100]} zzz")
+
+
 def test_language_model(spark):
     import duckdb
 
