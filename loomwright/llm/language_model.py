@@ -1,10 +1,14 @@
 """LM scoring: a log-bilinear model trained in numpy by noise-contrastive estimation.
 
-Counts of all training words give the base score. The model predicts a class from the two classes before it:
-the most frequent words are classes of their own, all others share one, and the end is one. Within the shared
-class a word has its smoothed share of the counts, so that the probabilities of all words, known or not, add up to at most 1.
+Counts of all training words give the base score. The model predicts a word from the two words before it. All training
+words that occur MIN_COUNT times or more are words of the model, however many they are, each with a context vector of
+its own; the others share one. The most frequent words are classes of their own, all others share a class, and the end
+is one: noise-contrastive estimation trains the classes. Below the shared class a Huffman tree of classes within classes
+leads down to each word; its nodes are two-way log-bilinear models. One leaf holds the words too rare for the model, and
+within it a word has its smoothed share of the counts. Each step is normalised, so the probabilities of all words, known
+or not, add up to at most 1.
 Every partition trains from the same start on all its training documents, in batches with shared noise words;
-the models are averaged, weighted by tokens, for each of a few rounds.
+the models are averaged for each of a few rounds, weighted by tokens; a vector by the tokens that touched it.
 
 Scoring works in blocks of documents: each block's distinct words are joined with the counts, so no table of all words
 goes to one place. A batch's distinct contexts are normalised once by matrix products.
@@ -15,18 +19,26 @@ columns are ignored. Without training documents every word has count 0; an empty
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batch_words
-from .common import small_batches, stash, table
+from .blocks import batch_words, word_hashes
+from .common import discard, fresh_path, small_batches, stash, table
 
 CLASSES, WIDTH, NOISE, ROUNDS, RATE = 510, 16, 64, 2, 0.05
+#: Words that occur so often in training are words of the model.
+MIN_COUNT = 5
+#: Step of context vectors and tree nodes, and what their squared gradients start at.
+STEP, DAMP = 0.1, 0.1
+#: Vectors sent as one row when models are averaged.
+CHUNK = 1024
 #: Characters in a block of documents when scoring, on average.
 BLOCK_CHARS = 8_000_000
 END = "\n"  # no word holds a line feed
@@ -59,11 +71,92 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def start_model(counts: np.ndarray, seed: int = 7) -> list[np.ndarray]:
-    """Context vectors, two position weights, word vectors and biases; biases start at the classes' log frequencies."""
+class Vocabulary:
+    """Numbers of words: the end 0, frequent words, the words of the tree, and last all words too rare for the model."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, ends: int, total: int):
+        end = word_hashes(pa.array([END]))[0]
+        order = np.lexsort((hashes, -counts))
+        self.classes = 1 + min(CLASSES, len(order))  # with the end; the number of the shared class
+        self.rare = 1 + len(order)
+        self.counts = np.concatenate([[ends], counts[order], [total - ends - counts.sum()]]).astype(float)
+        own = np.concatenate([[end], hashes[order]])
+        self.number = np.argsort(own)
+        self.hashes = own[self.number]
+        self.class_counts = np.append(self.counts[: self.classes], self.counts[self.classes :].sum())
+        self.parent, self.side, self.odds = huffman(self.counts[self.classes :])
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        coded = pc.dictionary_encode(words)
+        h = word_hashes(coded.dictionary)
+        slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[slot] == h, self.number[slot], self.rare)[coded.indices.to_numpy()]
+
+
+def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parent and side of each node of a Huffman tree (leaves first, the root last), and the log odds of sides at inner nodes."""
+    n = len(counts)
+    order = np.argsort(counts, kind="stable")
+    weight = [*(counts[order] + 0.5).tolist(), *[0.0] * (n - 1)]
+    ids = [*order.tolist(), *range(n, 2 * n - 1)]
+    parent, side, odds = np.full(2 * n - 1, -1, dtype=np.int32), np.zeros(2 * n - 1, dtype=np.int8), np.zeros(n - 1)
+    leaf, inner = 0, n
+    for new in range(n, 2 * n - 1):
+        pair = []
+        for _ in range(2):
+            if leaf < n and (inner >= new or weight[leaf] <= weight[inner]):
+                pair.append(leaf)
+                leaf += 1
+            else:
+                pair.append(inner)
+                inner += 1
+        x, y = pair
+        weight[new], odds[new - n] = weight[x] + weight[y], np.log(weight[y] / weight[x])
+        parent[ids[x]] = parent[ids[y]] = new
+        side[ids[y]] = 1
+    return parent, side, odds
+
+
+def start_model(counts: np.ndarray, odds: np.ndarray | None = None, seed: int = 7) -> list[np.ndarray]:
+    """Context vectors, two position weights, class vectors and biases, then tree nodes with a bias each; without odds no tree.
+
+    Biases start at the log frequencies, so that the model starts at the shares of the counts.
+    """
     rng, n = np.random.default_rng(seed), len(counts)
     bias = np.log((counts + 1) / (counts.sum() + n))
-    return [rng.normal(0, 0.1, (n, WIDTH)), np.ones((2, WIDTH)) / 2, rng.normal(0, 0.1, (n, WIDTH)), bias]
+    odds = np.zeros(0) if odds is None else odds
+    words = n + len(odds)
+    parts = rng.normal(0, 0.1, (words, WIDTH)), np.ones((2, WIDTH)) / 2, rng.normal(0, 0.1, (n, WIDTH)), bias, np.column_stack([np.zeros((len(odds), WIDTH)), odds])
+    return [x.astype(np.float32) for x in parts]
+
+
+def climb(v: Vocabulary, node: np.ndarray, q: np.ndarray, leaf: np.ndarray):
+    """For each step from leaves to the root: rows of q, inner nodes, their vectors, scores of side 1, the side taken."""
+    leaves = len(v.parent) // 2 + 1
+    rows, at = np.arange(len(leaf)), leaf
+    while len(rows := rows[keep := v.parent[at] >= 0]):
+        at = at[keep]
+        up = v.parent[at]
+        vectors = node[up - leaves]
+        yield rows, up - leaves, vectors, np.einsum("ij,ij->i", q[rows], vectors[:, :-1]) + vectors[:, -1], v.side[at]
+        at = up
+
+
+def row_sums(rows: np.ndarray, x: np.ndarray, of: np.ndarray | None = None, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, the sum of x, or of times * x[of], for each, and how many there are."""
+    order = np.argsort(rows)
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    x = x[order] if of is None else x[of[order]] * times[order, None]
+    return rows[first], np.add.reduceat(x, first, axis=0), np.diff(np.append(first, len(rows)))
+
+
+def step_rows(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, sums: tuple, rate: float) -> None:
+    """A step on some rows, smaller the more they have moved, so that rare rows learn too."""
+    rows, g, n = sums
+    squares[rows] += (g * g).mean(axis=1)
+    touched[rows] += n
+    table[rows] += rate * g / np.sqrt(squares[rows] + DAMP)[:, None]
 
 
 def contexts(classes: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,63 +169,116 @@ def contexts(classes: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray,
     return one, two
 
 
-def nce_batch(model: list[np.ndarray], one, two, word, log_noise, noise, rate: float) -> None:
+def nce_batch(model: list[np.ndarray], moved: list[np.ndarray], v: Vocabulary, one, two, word, log_noise, noise, rate: float) -> None:
     """One step on a batch; the noise words are shared by its tokens. Unnormalised scores are taken as log-probabilities."""
-    vec, pos, out, bias = model
+    vec, pos, out, bias, node = model
     a, b = vec[one], vec[two]
     q = a * pos[0] + b * pos[1]
-    k = len(noise)
-    odds = lambda s, w: 1 / (1 + np.exp(-np.clip(s - np.log(k) - log_noise[w], -30, 30)))
+    log_noise = log_noise + np.float32(np.log(len(noise)))
+    leaf, word = word - v.classes, np.minimum(word, v.classes)
+    odds = lambda s, w: 1 / (1 + np.exp(-np.clip(s - log_noise[w], -30, 30)))
     up = 1 - odds((q * out[word]).sum(axis=1) + bias[word], word)
     down = -odds(q @ out[noise].T + bias[noise], noise)
     gq = up[:, None] * out[word] + down @ out[noise]
     n, scale = len(word), rate * 256 / len(word)
-    onehot = lambda idx, g: np.stack([np.bincount(idx, g[:, j], minlength=len(vec)) for j in range(g.shape[1])], axis=1)
-    g_out, g_bias = onehot(word, up[:, None] * q), np.bincount(word, up, minlength=len(vec))
+    g_out, g_bias = np.zeros_like(out), np.bincount(word, up, minlength=len(out))
+    rows, sums, _ = row_sums(word, q, np.arange(n), up)
+    g_out[rows] = sums
     np.add.at(g_out, noise, down.T @ q)
     np.add.at(g_bias, noise, down.sum(axis=0))
-    g_vec = onehot(one, gq * pos[0]) + onehot(two, gq * pos[1])
+    inside = np.flatnonzero(leaf >= 0)
+    steps = []
+    for r, inner, vectors, s, side in climb(v, node, q[inside], leaf[inside]):
+        r, g = inside[r], (side - 1 / (1 + np.exp(-np.clip(s, -30, 30)))).astype(np.float32)
+        gq[r] += g[:, None] * vectors[:, :-1]
+        steps.append((inner, r, g))
+    pace = STEP * rate / RATE
+    if steps:
+        inner, r, g = (np.concatenate(x) for x in zip(*steps, strict=True))
+        step_rows(node, moved[2], moved[3], row_sums(inner, np.column_stack([q, np.ones(n, np.float32)]), r, g), pace)
+    step_rows(vec, moved[0], moved[1], row_sums(np.concatenate([one, two]), np.concatenate([gq * pos[0], gq * pos[1]])), pace)
     pos += rate * np.stack([(gq * a).sum(axis=0), (gq * b).sum(axis=0)]) / n
-    vec += np.clip(scale * g_vec, -0.5, 0.5)
     out += np.clip(scale * g_out, -0.5, 0.5)
     bias += np.clip(scale * g_bias, -0.5, 0.5)
 
 
-def train(docs: DataFrame, names: list[str], counts: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list[np.ndarray]:
+def put(spark, what) -> str:
+    """Write to the shared folder once; in a closure each executor would store it."""
+    path = fresh_path(spark, "model")
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as out:
+        pickle.dump(what, out, protocol=5)
+    return path
+
+
+def get(path: str):
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as f:
+        return pickle.loads(f.read())
+
+
+def remove(path: str) -> None:
+    store, at = fs.FileSystem.from_uri(path)
+    store.delete_file(at)
+
+
+def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> list[np.ndarray]:
     """The averaged model, trained on all documents given."""
-    end, other = names.index(END), len(names)
-    model = start_model(counts)
-    noise_p = (counts + 1) / (counts.sum() + len(counts))
+    model = start_model(v.class_counts, v.odds)
+    noise_p = (v.class_counts + 1) / (v.class_counts.sum() + len(v.class_counts))
+    shapes = [x.shape for x in model]
     for step in range(rounds):
-        sent = model
+        path = put(docs.sparkSession, (v, model))
 
-        def fit(batches: Iterator[pa.RecordBatch], sent=sent, step=step) -> Iterator[pa.RecordBatch]:
-            rng, own, seen = np.random.default_rng(step), [x.copy() for x in sent], 0
-            values = pa.array(names)
+        def fit(batches: Iterator[pa.RecordBatch], path=path, step=step) -> Iterator[pa.RecordBatch]:
+            v, own = get(path)
+            rng, seen = np.random.default_rng(step), 0
+            moved = [np.zeros(len(own[k]), t) for k in (0, 4) for t in (np.float32, np.int64)]
+            log_noise = np.log(noise_p).astype(np.float32)
             for b in batches:
                 at, words = tokens_of(b.column("text"))
-                classes = pc.fill_null(pc.index_in(words.cast(pa.string()), value_set=values), other).to_numpy().astype(np.int64)
-                one, two = contexts(classes, at, end)
-                for i in range(0, len(classes), 4096):
+                numbers = v.numbers(words)
+                one, two = contexts(numbers, at, 0)
+                for i in range(0, len(numbers), 4096):
                     s = slice(i, i + 4096)
-                    nce_batch(own, one[s], two[s], classes[s], np.log(noise_p), rng.choice(len(noise_p), NOISE, p=noise_p), rate / (1 + step))
-                seen += len(classes)
+                    nce_batch(own, moved, v, one[s], two[s], numbers[s], log_noise, rng.choice(len(noise_p), NOISE, p=noise_p), rate / (1 + step))
+                seen += len(numbers)
             if seen:
-                flat = np.concatenate([x.ravel() for x in own])
-                yield pa.RecordBatch.from_pydict({"i": np.arange(len(flat)), "v": flat * seen, "n": np.full(len(flat), seen)})
-
-        got = docs.select("text").mapInArrow(fit, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v"))
-        # As many rows as the model has parameters, whatever the input.
-        rows = got.toPandas()
-        if len(rows):
-            flat, cut = rows.sort_values("i")["v"].to_numpy(), np.cumsum([x.size for x in model])[:-1]
-            model = [x.reshape(y.shape) for x, y in zip(np.split(flat, cut), model, strict=True)]
+                for part, x in enumerate(own):
+                    x = x if x.ndim > 1 else x[:, None]
+                    n = {0: moved[1], 4: moved[3]}.get(part, np.full(len(x), seen))
+                    rows = np.flatnonzero(n)
+                    cut = np.searchsorted(rows, np.arange(0, len(x) + CHUNK, CHUNK))
+                    for k, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                        if i < j:
+                            yield pa.RecordBatch.from_pydict({"part": [part], "chunk": [k], "rows": [rows[i:j].astype(np.int32).tobytes()], "n": [n[rows[i:j]].tobytes()], "x": [x[rows[i:j]].tobytes()]})
+
+        def mean(key, t):
+            part, chunk = (k.as_py() for k in key)
+            width = int(np.prod(shapes[part][1:]))
+            total, weight = np.zeros((CHUNK, width)), np.zeros(CHUNK)
+            for rows, n, x in zip(*(t.column(c).to_pylist() for c in ("rows", "n", "x")), strict=True):
+                rows, n = np.frombuffer(rows, np.int32) - chunk * CHUNK, np.frombuffer(n, np.int64)
+                weight[rows] += n
+                total[rows] += n[:, None] * np.frombuffer(x, np.float32).reshape(len(rows), width)
+            rows = np.flatnonzero(weight)
+            return pa.table({"part": [part], "rows": [(rows + chunk * CHUNK).astype(np.int32).tobytes()], "x": [(total[rows] / weight[rows, None]).astype(np.float32).tobytes()]})
+
+        # As many vectors as the model has.
+        models = docs.select("text").mapInArrow(fit, "part long, chunk long, rows binary, n binary, x binary")
+        means = stash(models.groupBy("part", "chunk").applyInArrow(mean, "part long, rows binary, x binary"), "model")
+        for got in means.toLocalIterator():
+            rows = np.frombuffer(got.rows, np.int32)
+            model[got.part][rows] = np.frombuffer(got.x, np.float32).reshape(len(rows), *shapes[got.part][1:])
+        discard(means)
+        remove(path)
     return model
 
 
 def log_probabilities(model: list[np.ndarray], one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Normalised natural log-probabilities of classes; each distinct context is normalised once."""
-    vec, pos, out, bias = model
+    vec, pos, out, bias = model[:4]
     q = lambda a, b: vec[a] * pos[0] + vec[b] * pos[1]
     pair, which = np.unique(one * len(vec) + two, return_inverse=True)
     z = np.empty(len(pair))
@@ -148,6 +294,17 @@ def log_probabilities(model: list[np.ndarray], one: np.ndarray, two: np.ndarray,
     return score - z[which]
 
 
+def tree_log_probabilities(model: list[np.ndarray], v: Vocabulary, one: np.ndarray, two: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """Natural log-probabilities of leaves within the shared class."""
+    vec, pos, node = model[0], model[1], model[4]
+    p = np.zeros(len(leaf))
+    for i in range(0, len(leaf), 65536):
+        w = slice(i, i + 65536)
+        for r, _, _, s, side in climb(v, node, vec[one[w]] * pos[0] + vec[two[w]] * pos[1], leaf[w]):
+            p[i + r] -= np.logaddexp(0, np.where(side == 1, -s, s))
+    return p
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
@@ -156,12 +313,16 @@ def score(docs: DataFrame) -> DataFrame:
     training = rows.where("NOT held_out")
     counts = stash(word_counts(training), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    # A top-k of classes: their number is a parameter of the model, and all other words are in the shared class.
-    top = counts.where(F.col("word") != END).orderBy(F.desc("c"), "word").limit(CLASSES).collect()
     ends = (counts.where(F.col("word") == END).first() or [END, 0])[1]
-    names = [END, *[r.word for r in top]]
-    class_counts = np.array([ends, *[r.c for r in top], total - ends - sum(r.c for r in top)], dtype=float)
-    model = train(training, names, class_counts)
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(word_hashes(b.column("word")).view(np.int64)), b.column("c")], names=["h", "c"])
+
+    # As many rows as the model has words.
+    got = counts.where((F.col("word") != END) & (F.col("c") >= MIN_COUNT)).mapInArrow(hashed, "h long, c long").toArrow()
+    v = Vocabulary(got.column("h").to_numpy().astype(np.int64).view(np.uint64), got.column("c").to_numpy(), ends, total)
+    path, rare, rare_count = put(spark, (v, train(training, v))), v.rare, v.counts[-1]
 
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = chars // BLOCK_CHARS + 1
@@ -177,20 +338,24 @@ def score(docs: DataFrame) -> DataFrame:
 
     words = dealt.select("block", "text").mapInArrow(vocabulary, "block long, word string").distinct()
     known = words.join(counts, "word")
-    shared = float(class_counts[-1])
-    n_shared = max(0, distinct - len(names))
+    n_rare = max(0, distinct - rare)
 
     def mark(key, left: pa.Table, right: pa.Table) -> pa.Table:
         values, found = right.column("word").combine_chunks(), np.append(right.column("c").to_numpy(), 0)
         out: list[tuple] = []
+        v, model = get(path)
         for b in left.to_batches(max_chunksize=64):
             at, words = tokens_of(b.column("text"))
             words = words.cast(pa.string())
             c = found[pc.fill_null(pc.index_in(words, value_set=values), len(found) - 1).to_numpy()]
-            classes = pc.fill_null(pc.index_in(words, value_set=pa.array(names)), len(names)).to_numpy().astype(np.int64)
+            numbers = v.numbers(words)
+            one, two = contexts(numbers, at, 0)
             base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-            p = log_probabilities(model, *contexts(classes, at, 0), classes) / np.log(10)
-            p += np.where(classes == len(names), np.log10((c + 0.5) / (shared + 0.5 * (n_shared + 1))), 0)
+            p = log_probabilities(model, one, two, np.minimum(numbers, v.classes)).astype(float)
+            inside = np.flatnonzero(numbers >= v.classes)
+            p[inside] += tree_log_probabilities(model, v, one[inside], two[inside], numbers[inside] - v.classes)
+            p /= np.log(10)
+            p += np.where(numbers == rare, np.log10((c + 0.5) / (rare_count + 0.5 * (n_rare + 1))), 0)
             for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 out.append((b.column("doc_id")[i].as_py(), b.column("held_out")[i].as_py(), int(y - x), int((c[x:y] > 0).sum()), int(total), float(base[x:y].sum()), float(p[x:y].sum())))
         names_ = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]

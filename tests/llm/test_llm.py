@@ -167,6 +167,42 @@ def test_language_model_is_normalised_and_better_than_counts(spark):
     assert held[0] > held[1]
 
 
+def test_language_model_has_a_vector_for_each_word():
+    import numpy as np
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(2000)]
+    v = language_model.Vocabulary(language_model.word_hashes(pa.array(words)), np.arange(2000, 0, -1) + 4, 300, 3_000_000)
+    assert sorted(v.numbers(pa.array([language_model.END, *words, "unknown"]))) == list(range(2002))
+    model, rng = language_model.start_model(v.class_counts, v.odds), np.random.default_rng(1)
+    assert len(model[0]) == 2002
+    model[4] += rng.normal(0, 0.5, model[4].shape)
+    for one, two in ((0, 0), (3, 700), (1500, v.rare)):
+        numbers = np.arange(2002)
+        a, b = np.full(2002, one), np.full(2002, two)
+        p = language_model.log_probabilities(model, a, b, np.minimum(numbers, v.classes)).astype(float)
+        inside = numbers >= v.classes
+        p[inside] += language_model.tree_log_probabilities(model, v, a[inside], b[inside], numbers[inside] - v.classes)
+        assert np.exp(p).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_learns_the_order_of_rare_words(spark):
+    import random
+
+    rng = random.Random(5)
+    tail = [f"r{i} s{i}" for i in range(20) for _ in range(30)]  # less frequent than the words that are classes
+    parts = [f"f{i}" for i in range(520) for _ in range(60)] + tail
+    rng.shuffle(parts)
+    held = [d for d in range(20000) if zlib.crc32(str(d).encode()) % 5 == 1]
+    free = [d for d in range(20000) if zlib.crc32(str(d).encode()) % 5 != 1]
+    rows = [(free[i // 50], " ".join(parts[i : i + 50])) for i in range(0, len(parts), 50)]
+    rows += [(held[i], f"r{i} s{i}") for i in range(20)] + [(held[20 + i], f"r{i} s{(i + 1) % 20}") for i in range(20)]
+    got = {r.doc_id: (r.base_score, r.score) for r in language_model.score(docs(spark, rows)).collect()}
+    right, wrong = [got[held[i]] for i in range(20)], [got[held[20 + i]] for i in range(20)]
+    assert sum(b for b, _ in right) == pytest.approx(sum(b for b, _ in wrong))
+    assert sum(s for _, s in right) > sum(s for _, s in wrong) + 1
+
+
 def test_lines(spark):
     rows = [(0, None), (1, ""), (2, "a b c d e f g h i j\n\nx"), (3, "A b c d e f g h i j\nx y\n\nz"), (4, "a b c d e f g h i k"), (5, "a b c d e f g h q r"), (6, "x\nx")]
     rows += [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
