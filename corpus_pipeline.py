@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomwright.llm import common, decontaminate, jaccard, mixing, quality, tokens
 
@@ -13,9 +14,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8): the one with the least doc_id. Empty texts are no copies."""
-    classes = jaccard.join_classes(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(classes, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    """One document of each group of near copies (five words, 0.8): the one with the least doc_id. Empty texts are no copies.
+
+    Rows are told apart by doc_id and text, so null and repeated ids with other texts stay; a null id counts as the greatest.
+    """
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    worded = F.coalesce(F.col("text").rlike(common.WORD), F.lit(False))
+    classes = jaccard.join_classes(keyed.where(worded).select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("least")
+    first = keyed.where(worded).select("_row", "doc_id").join(classes, "_row").groupBy("component_id").agg(least).select("least._row")
+    kept = keyed.where(worded).join(first, "_row", "left_semi").dropDuplicates(["_row"])
+    return kept.select(*docs.columns).union(docs.where(~worded))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -221,6 +221,17 @@ def test_lines(spark):
     assert lines.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_near_duplicate_stage_keeps_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    one, two, three, four = (" ".join(f"{c}{i}" for i in range(30)) for c in "abcd")
+    rows = [(None, one), (None, two), (1, three), (1, four), (0, three), (2, one), (3, two), (3, two), (4, None), (4, None), (None, " ")]
+    got = corpus_pipeline.near_duplicate_stage(spark, docs(spark, rows), SF).select("doc_id", "text").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(0, three), (1, four), (2, one), (3, two), (4, None), (4, None), (None, " ")]))
+    got = corpus_pipeline.near_duplicate_stage(spark, docs(spark, [(None, one), (None, two), (None, one)]), SF).collect()
+    assert sorted(r.text for r in got) == [one, two]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
