@@ -2,8 +2,10 @@
 
 Documents are dealt out by ranges of doc_id and sorted; each range becomes one shard: an Arrow stream whose
 batches hold two fixed-size lists, ``ids`` (uint32) and ``mask`` (uint8, 1 for real ids), beside an Arrow stream
-with doc_id and length of each document. Sequences run across documents; a shard's last one is padded with 0 under
-mask 0. Reading maps the values of the lists without copying them. Files are written under a
+with doc_id and length of each document and one with the place of each batch. All batches but the last have CHUNK
+sequences, so that sequence i is found without a scan. Sequences run across documents; a shard's last one is padded with 0 under
+mask 0. Sequences maps a local shard and gives its values without copying them; read_documents goes through a shard in
+order and copies. Files are written under a
 name of the attempt and then moved, so that a task that runs again replaces its own file.
 
 A null or empty text has only the end id. Repeated doc_ids are separate rows. Other columns are ignored. An
@@ -38,15 +40,18 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _write(path: str, schema: pa.Schema, batches) -> None:
-    """Write under a name of this attempt, then move into place."""
+def _write(path: str, schema: pa.Schema, batches) -> list[tuple[int, int]]:
+    """Write under a name of this attempt, then move into place; returns place and rows of each batch."""
     store, to = _open(path)
     context = TaskContext.get()
     part = f"{to}.{context.taskAttemptId() if context else 0}.part"
     with store.open_output_stream(part) as out, pa.ipc.new_stream(out, schema) as writer:
+        places = []
         for b in batches:
+            places.append((out.tell(), len(b)))
             writer.write_batch(b)
     store.move(part, to)
+    return places
 
 
 def _schema(length: int) -> pa.Schema:
@@ -54,6 +59,7 @@ def _schema(length: int) -> pa.Schema:
 
 
 INDEX = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())])
+PLACES = pa.schema([("at", pa.int64()), ("n", pa.int64())])
 
 
 def pack(ids: np.ndarray, length: int, pad: bool = False) -> tuple[pa.RecordBatch, np.ndarray]:
@@ -87,17 +93,18 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, len
                 parts = [np.array([*e.ids, end_id], dtype=np.uint32) for e in got]
                 index.append(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(p) for p in parts], pa.int64())], schema=INDEX))
                 left = np.concatenate([left, *parts])
-                while len(left) >= length:
+                while len(left) >= CHUNK * length:
                     batch, rest = pack(left[: CHUNK * length], length)
                     left = np.concatenate([rest, left[CHUNK * length :]])
                     yield batch
             if len(left):
                 yield pack(left, length, pad=True)[0]
 
-        _write(f"{path}.arrow", _schema(length), sequences())
+        places = _write(f"{path}.arrow", _schema(length), sequences())
         n_docs = sum(len(x) for x in index)
         if n_docs:
             _write(f"{path}.index", INDEX, index)
+            _write(f"{path}.places", PLACES, [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*places, strict=True)], schema=PLACES)])
             n_tokens = sum(int(x.column(1).to_numpy().sum()) for x in index)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [path], "n_docs": pa.array([n_docs], pa.int64()), "n_tokens": pa.array([n_tokens], pa.int64())})
 
@@ -132,6 +139,36 @@ def read_documents(path: str) -> Iterator[tuple[int, np.ndarray]]:
             have = have[n:]
 
 
+class Sequences:
+    """The sequences of a shard by number; a local file is mapped, and one elsewhere is read batch by batch."""
+
+    def __init__(self, path: str):
+        from pyarrow import fs
+
+        store, at = _open(path)
+        with store.open_input_file(f"{at}.places") as f:
+            places = pa.ipc.open_stream(f).read_all()
+        self.places, self.n = places.column("at").to_numpy(), int(places.column("n").to_numpy().sum())
+        self.file = pa.memory_map(f"{at}.arrow") if isinstance(store, fs.LocalFileSystem) else store.open_input_file(f"{at}.arrow")
+        self.schema = pa.ipc.open_stream(self.file).schema
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """ids and mask of sequence i."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        self.file.seek(int(self.places[i // CHUNK]))
+        message = pa.ipc.read_message(self.file)
+        if message.type == "schema":  # stands before the first batch
+            message = pa.ipc.read_message(self.file)
+        batch = pa.ipc.read_record_batch(message, self.schema)
+        k, length = i % CHUNK, self.schema.field("ids").type.list_size
+        ids, mask = (batch.column(c).flatten()[k * length : (k + 1) * length].to_numpy(zero_copy_only=True) for c in (0, 1))
+        return ids, mask
+
+
 def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, read from the files."""
     spec = "doc_id long, start long, n_tokens long, ids_crc32 long"

@@ -78,6 +78,28 @@ def test_tokens(spark):
     assert tokens.encode_to_files(docs(spark, [])).count() == 0
 
 
+def test_tokens_by_number(spark, tmp_path):
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    shards = tokens.write_shards(docs(spark, rows), f"file://{tmp_path}/t", length=16).collect()
+    assert max(s.n_tokens for s in shards) > 3 * 16 * tokens.CHUNK
+    for s in shards:
+        all_ids = np.concatenate([ids for _, ids in tokens.read_documents(s.path)])
+        got = tokens.Sequences(s.path)
+        assert len(got) == -(-len(all_ids) // 16)
+        before, held = pa.total_allocated_bytes(), []
+        for i in [len(got) - 1, 0, tokens.CHUNK, tokens.CHUNK - 1, 1, *range(0, len(got), 97)]:
+            if i < len(got):
+                held.append(got[i])
+                want = all_ids[16 * i : 16 * i + 16]
+                assert (held[-1][0][: len(want)] == want).all() and held[-1][1].sum() == len(want)
+        assert pa.total_allocated_bytes() == before  # values of the mapped file, not copies
+        with pytest.raises(IndexError):
+            got[len(got)]
+
+
 def test_chat(spark):
     texts = [None, "", "<|im_end|>", "\\<|im_start|>user\nhi", "<\\|", "\\\\", "<\\\\|x<|", "a\n<|im_end|>\n<|im_start|>assistant\nb\\", chat.EXTRA]
     rows = [(1, i, r, t) for i, t in enumerate(texts) for r in ("user", "assistant", None, "od\nd<|\\n")]
