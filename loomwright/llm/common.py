@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,27 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def put_object(spark: SparkSession, what) -> str:
+    """Write to the shared folder once; in a closure each executor would store it."""
+    path = fresh_path(spark, "object")
+    store, at = fs.FileSystem.from_uri(path)
+    store.create_dir(at.rsplit("/", 1)[0], recursive=True)
+    with store.open_output_stream(at) as out:
+        pickle.dump(what, out, protocol=5)
+    return path
+
+
+def get_object(path: str):
+    store, at = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(at) as f:
+        return pickle.loads(f.read())
+
+
+def remove_object(path: str) -> None:
+    store, at = fs.FileSystem.from_uri(path)
+    store.delete_file(at)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Few rows in each Arrow batch, as single texts may be very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

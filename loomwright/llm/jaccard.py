@@ -1,108 +1,139 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-1. Each text becomes its set of word n-grams (64-bit hashes). Equal sets are one class, and only its
-   least document goes on.
-2. Blocks of columns: n-grams are dealt into blocks by hash, as many as the largest symmetric difference that
-   sizes in a class of lengths allow, plus one. Two linked sets agree on a whole block, so rows that share no block
-   have a product below their bound and are never multiplied. A block's key is the hash of its n-grams.
-3. Within each key, members are tried against one hub after another while they lie in different
-   components, then all pairs that are still apart. Copies of one text join through the hub, not in pairs.
-4. Tried pairs are multiplied: the rows of the two sparse vectors are merged for their overlap count, and pairs below
-   the bound ``100 * overlap >= percent * union`` are dropped. Links are folded into components.
-
-Every link lies within a component, and no link between components is lost. Null, empty and blank texts have an
-empty set and link with nothing; they are components of their own. Texts with fewer words than n have the whole
-sequence as their one n-gram. Rows that repeat a doc_id count as one document: the one with most n-grams. Other columns are ignored.
-An empty table gives none.
+1. Each text becomes its row of the incidence, the set of its word n-grams (64-bit hashes). Equal rows are one class with
+   one 64-bit number; a sketch of fixed size counts how many documents have an n-gram of each of its cells.
+2. Columns are ordered by the sketch, rare ones first, and equal cells by hash: one order for all rows, whatever its quality. Two
+   rows can only meet the bound if they share one of their first ``n - least overlap + 1`` columns, so the product is
+   formed on these columns alone, in blocks of a column each; columns with one row drop out.
+3. An entry at place ``p`` of a row of ``n`` that is the first shared one leaves an overlap of at most ``n - p``.
+   Entries whose bound on either side is below the overlap that both sizes need are discarded unseen.
+4. In each column one row, the one with the most left, is multiplied with the others first; links are folded into
+   components. Then all entries whose rows still lie in different components are multiplied. Copies of one text
+   thus meet in a star, not in pairs.
+5. The product of the pairs that are left adds up overlap counts over sorted n-grams for a block of pairs at a time; pairs with
+   ``100 * overlap < percent * union`` are discarded.
+
+Returned are components and set sizes. Every pair that links lies in one component; links inside a component are not listed.
+Null, empty and blank texts have an empty set and link with nothing; they are components of their own. Texts with fewer
+words than n have the whole sequence as their one n-gram. Rows that repeat a doc_id, null among them, count as one document: the
+one with most n-grams. Other columns are ignored. An empty table gives none.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batch_words, gram_hashes, mix64, word_hashes
-from .common import discard, partitions, small_batches, stash, table
+from .blocks import hashed_words, mix64, pieces, text_grams
+from .common import discard, get_object, put_object, remove_object, stash, table
 
-HUBS = 5
+#: Cells of the sketch, sent in so many parts; so many parts of tasks are added up at once.
+CELLS, PARTS, FAN_IN = 1 << 21, 8, 32
+#: N-grams of both sides in one block of pairs.
+BLOCK_GRAMS = 2_000_000
 
 
-def text_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """The sorted n-gram hashes of each text."""
-    ends, found = batch_words(texts, lower=True)
-    h = word_hashes(found)
-    for a, b in zip(ends[:-1], ends[1:], strict=True):
-        yield np.unique(gram_hashes(h[a:b], min(n, b - a))) if b > a else np.zeros(0, dtype=np.uint64)
+def cell(grams: np.ndarray) -> np.ndarray:
+    return (grams & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-def size_class(n: int, percent: int) -> int:
-    """Linked sets are in the same class or in neighbouring ones."""
-    return int(np.floor(np.log(n) / np.log(100 / percent) + 1e-9))
+def incidence(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row and hash of each distinct n-gram, sorted; the rows' sizes and numbers (0 for empty ones)."""
+    bounds, h, _ = hashed_words(texts, lower=True)
+    own, grams = text_grams(bounds, h, n)
+    order = np.lexsort((grams, own))
+    own, grams = own[order], grams[order]
+    new = np.ones(len(own), dtype=bool)
+    new[1:] = (own[1:] != own[:-1]) | (grams[1:] != grams[:-1])
+    own, grams = own[new], grams[new]
+    size = np.bincount(own, minlength=len(texts))
+    number = np.zeros(len(texts), dtype=np.uint64)
+    if len(own):
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        number[own[first]] = mix64(np.add.reduceat(mix64(grams + np.uint64(0x51ED270B)), first) + size[own[first]].astype(np.uint64))
+    return own, grams, size, number.view(np.int64)
 
 
-def class_top(c: int, percent: int) -> int:
-    return int(np.floor((100 / percent) ** (c + 1) + 1e-6))
+def least_overlap(a, b, percent: int):
+    """The least o with 100 * o >= percent * (a + b - o), for arrays of sizes."""
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def block_keys(s: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of the blocks of a set, for its class and the next.
-
-    With more blocks holding an n-gram than the difference of linked sets, one of those blocks agrees; some
-    blocks to spare see to that. Only a set with too few of them also gives keys for its empty blocks: of
-    two such sets one block of all agrees, and of any other two one that holds an n-gram.
-    """
-    c, keys = size_class(len(s), percent), []
-    spread = mix64(s)
-    for k in (c, c + 1):
-        # Sizes a <= b with both in classes k - 1 and k: a + b is at most this.
-        most = 2 * class_top(k, percent)
-        differ = (100 - percent) * most // (100 + percent)
-        blocks = differ + differ // 32 + 4
-        at = (spread % np.uint64(blocks)).astype(np.int64)
-        total = np.zeros(blocks, dtype=np.uint64)
-        np.add.at(total, at, mix64(spread + np.uint64(0x1234567)))
-        key = mix64(total ^ mix64(np.arange(blocks, dtype=np.uint64) + np.uint64(k << 32)))
-        filled = np.bincount(at, minlength=blocks) > 0
-        keys.append(key[filled] if filled.sum() > differ else key)
-    return np.concatenate(keys)
-
-
-def node_of(s: np.ndarray) -> int:
-    """A set's number: 63 bits of its digest."""
-    import hashlib
-
-    return int.from_bytes(hashlib.md5(s.tobytes()).digest()[:8], "little") >> 1
-
-
-def set_ids(rows: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, node."""
+def read_sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, node of each row; besides, for each task, its sketch in parts (part, no, counts)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = list(text_sets(b.column("text"), n))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) for s in sets], pa.int64())], names=["doc_id", "n_shingles", "node"])
-
-    return rows.mapInArrow(make, "doc_id long, n_shingles long, node long")
-
-
-def block_rows(rows: DataFrame, n: int, percent: int) -> DataFrame:
-    """node, key: the blocks of each set; a task gives those of equal sets once."""
+        names, seen = ["doc_id", "n_shingles", "node", "part", "no", "counts"], np.zeros(CELLS, dtype=np.uint32)
+        for batch in batches:
+            for b in pieces(batch):
+                _, grams, size, number = incidence(b.column("text"), n)
+                seen += np.bincount(cell(grams), minlength=CELLS).astype(np.uint32)
+                none = [pa.nulls(len(b), t) for t in (pa.int32(), pa.int64(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(number), *none], names=names)
+        for k, part in enumerate(np.split(np.minimum(seen, 65535).astype(np.uint16), PARTS)):
+            row = [pa.nulls(1, pa.int64())] * 3 + [pa.array([k], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([zlib.compress(part.tobytes(), 1)])]
+            yield pa.RecordBatch.from_arrays(row, names=names)
+
+    return docs.mapInArrow(make, "doc_id long, n_shingles long, node long, part int, no long, counts binary")
+
+
+def add_sketches(parts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches, FAN_IN at a time; its cells hold logarithms, a byte each."""
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // PARTS, dtype=np.uint64)
+        for c in t.column("counts").to_pylist():
+            raw = zlib.decompress(c)
+            total += np.frombuffer(raw, np.uint16 if len(raw) < 4 * len(total) else np.uint64)
+        return pa.table({"part": t.column("part").slice(0, 1), "no": t.column("into").slice(0, 1), "counts": pa.array([zlib.compress(total.tobytes(), 1)])})
+
+    n, old = (parts.agg(F.max("no")).first()[0] or 0) + 1, None
+    while True:
+        into = parts.withColumn("into", F.floor(F.col("no") / FAN_IN).cast("long"))
+        level = stash(into.groupBy("part", "into").applyInArrow(add, "part int, no long, counts binary"), "sketch")
+        if old is not None:
+            discard(old)
+        n = -(-n // FAN_IN)
+        if n <= 1:
+            break
+        parts = old = level
+    out = np.zeros(CELLS, dtype=np.uint64)
+    for r in level.collect():  # PARTS rows of fixed size
+        out[r.part * (CELLS // PARTS) : (r.part + 1) * (CELLS // PARTS)] = np.frombuffer(zlib.decompress(r.counts), np.uint64)
+    discard(level)
+    return np.minimum(np.log2(out + 1) * 8, 255).astype(np.uint8)
+
+
+def entries(docs: DataFrame, sketch: str, n: int, percent: int) -> DataFrame:
+    """key, node, n, p: the first columns of each row in the common order; a task gives those of equal rows once."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[int] = set()
-        for b in batches:
-            for s in text_sets(b.column("text"), n):
-                node = node_of(s)
-                if len(s) and node not in done:
-                    done.add(node)
-                    keys = block_keys(s, percent).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), node)), pa.array(keys)], names=["node", "key"])
-
-    return rows.select("text").mapInArrow(make, "node long, key long")
+        often, done = get_object(sketch), np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            for b in pieces(batch):
+                own, grams, size, number = incidence(b.column("text"), n)
+                fresh = np.zeros(len(b), dtype=bool)
+                fresh[np.unique(number, return_index=True)[1]] = True
+                fresh &= (size > 0) & ~np.isin(number, done)
+                done = np.concatenate([done, number[fresh]])
+                use = fresh[own]
+                own, grams = own[use], grams[use]
+                order = np.lexsort((grams, often[cell(grams)], own))
+                own, grams = own[order], grams[order]
+                kept = np.flatnonzero(fresh)
+                begin = np.zeros(len(b), dtype=np.int64)
+                begin[kept] = np.cumsum(size[kept]) - size[kept]
+                place = np.arange(len(own)) - begin[own]
+                first = place < size[own] + 1 + -percent * size[own] // 100
+                yield pa.RecordBatch.from_arrays([pa.array(grams[first].view(np.int64)), pa.array(number[own[first]]), pa.array(size[own[first]].astype(np.int32)), pa.array(place[first].astype(np.int32))], names=["key", "node", "n", "p"])
+
+    return docs.select("text").mapInArrow(make, "key long, node long, n int, p int")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -121,78 +152,86 @@ def components(links: DataFrame) -> DataFrame:
         state = new.drop("was")
 
 
+def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Overlap counts of pairs of rows: equal neighbours in the sorted n-grams of both, added up by pair."""
+    rows = [np.frombuffer(x, np.uint64) for pair in zip(left, right, strict=True) for x in pair]
+    which = np.repeat(np.arange(len(rows)) // 2, [len(r) for r in rows])
+    grams = np.concatenate(rows) if rows else np.zeros(0, np.uint64)
+    order = np.lexsort((grams, which))
+    which, grams = which[order], grams[order]
+    both = (grams[1:] == grams[:-1]) & (which[1:] == which[:-1])
+    return np.bincount(which[1:][both], minlength=len(left))
+
+
 def multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that meet the bound, by merging their rows of the incidence."""
+    """The pairs (a, b) that meet the bound."""
     left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    small_batches(pairs.sparkSession)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column("sa").to_pylist(), t.column("sb").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    ok.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield t.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for batch in batches:
+            size = [np.array([len(x) // 8 for x in batch.column(c).to_pylist()], dtype=np.int64) for c in ("sa", "sb")]
+            which = np.cumsum(size[0] + size[1]) // BLOCK_GRAMS
+            for k in np.unique(which):
+                i, j = np.searchsorted(which, [k, k + 1])
+                both = overlaps(*(batch.column(c).slice(i, j - i).to_pylist() for c in ("sa", "sb")))
+                ok = 100 * both >= percent * (size[0][i:j] + size[1][i:j] - both)
+                yield batch.select(["a", "b"]).slice(i, j - i).filter(pa.array(ok))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(keep, "a long, b long")
 
 
+def left_of(n: str, p: str, m: str, percent: int) -> Column:
+    """Whether what a row of size n has from place p on meets the overlap that it needs with a row of size m."""
+    return (F.col(n) - F.col(p)) * (100 + percent) >= percent * (F.col(n) + F.col(m))
+
+
 def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for each document."""
-    spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = set_ids(rows, n).groupBy("doc_id").agg(F.max(F.struct("n_shingles", "node")).alias("s")).select("doc_id", "s.*")
-    ids = stash(ids, "ids")
+    read = stash(read_sets(rows, n), "sets")
+    sketch = put_object(docs.sparkSession, add_sketches(read.where("part IS NOT NULL").select("part", "no", "counts")))
+    ids = read.where("part IS NULL").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "node")).alias("s")).select("doc_id", "s.*")
     reps = stash(ids.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
 
-    keys = block_rows(rows, n, percent).repartition(partitions(spark), "key")
-    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    members = stash(keys.join(shared, "key").distinct(), "members")
+    found = stash(entries(rows, sketch, n, percent), "entries")
+    remove_object(sketch)
+    shared = found.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    members = stash(found.join(shared, "key").distinct().join(reps.select("node"), "node", "left_semi").select("key", "node", "n", "p"), "members")
+    discard(found)
 
-    wanted = members.select("node").distinct().join(reps, "node").select(F.col("rep").alias("doc_id")).distinct()
+    wanted = members.select("node").distinct().join(reps, "node").select(F.col("rep").alias("wanted")).distinct()
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = list(text_sets(b.column("text"), n))
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "s"])
-
-    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(as_sets, "node long, s binary")
-    sets = stash(sets.dropDuplicates(["node"]), "sets")
-
-    links, state = spark.createDataFrame([], "a long, b long"), None
-    for k in range(HUBS + 1):
-        labelled = members.withColumn("c", F.col("node")) if state is None else members.join(state, "node", "left").select("key", "node", F.coalesce("component", "node").alias("c"))
-        if k < HUBS:
-            # A hub is the least member of the least component, then of the greatest, then of the least again by a hash.
-            order = (F.struct("c", "node"), F.struct(-F.col("c"), F.col("node")), F.struct(F.xxhash64("c"), F.col("node")))[k % 3]
-            hubs = labelled.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("hub"), F.col("c").alias("hc"))).alias("h")).select("key", "h.hub", "h.hc")
-            # One hub for each set in a round, so that a round copies no set more than twice.
-            near = labelled.join(hubs, "key").where("c <> hc").groupBy("node").agg(F.min(F.struct((F.xxhash64("hub") if k % 3 == 2 else F.col("hub") * (-1) ** k).alias("o"), "hub")).alias("h"))
-            pairs = near.select("node", F.col("h.hub").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        else:
-            mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-            open_ = labelled.join(mixed, "key")
-            other = open_.toDF("key", "b", "cb")
-            pairs = open_.join(other, "key").where("node < b AND c <> cb").select(F.col("node").alias("a"), "b")
-        found = stash(multiply(pairs.distinct(), sets, percent), "links")
-        if not found.isEmpty():
-            links, old = links.union(found), state
-            state = components(links)
-            if old is not None:
-                discard(old)
-    discard(members)
-    discard(sets)
-    if state is None:
-        named = reps.withColumnRenamed("rep", "component_id")
-    else:
-        found = reps.join(state, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
-        least = found.groupBy("c").agg(F.min("rep").alias("component_id"))
-        named = found.join(least, "c").select("node", "component_id")
+        for batch in batches:
+            for b in pieces(batch):
+                own, grams, size, number = incidence(b.column("text"), n)
+                cut = np.concatenate([[0], np.cumsum(size)])
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array([grams[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "s"])
+
+    sets = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").mapInArrow(as_sets, "node long, s binary")
+    sets = stash(sets.dropDuplicates(["node"]), "rows")
+
+    # In each column the row with the most left is the hub of the others; a row goes to its best hub.
+    hubs = members.groupBy("key").agg(F.min(F.struct("p", "n", F.col("node").alias("hub"))).alias("h")).select("key", F.col("h.p").alias("hp"), F.col("h.n").alias("hn"), "h.hub")
+    near = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & left_of("n", "p", "hn", percent) & left_of("hn", "hp", "n", percent))
+    pairs = near.groupBy("node").agg(F.min(F.struct(F.expr("p + hp").alias("o"), "hub")).alias("h")).select("node", F.col("h.hub").alias("hub"))
+    links = stash(multiply(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), sets, percent), "links")
+
+    # What lies in different components after that.
+    state = components(links)
+    labelled = members.join(state, "node", "left").select("key", "node", "n", "p", F.coalesce("component", "node").alias("c"))
+    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+    open_ = labelled.join(mixed, "key")
+    a, b = (open_.toDF("key", *[f"{c}_{k}" for c in ("node", "n", "p", "c")]) for k in "ab")
+    apart = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & left_of("n_a", "p_a", "n_b", percent) & left_of("n_b", "p_b", "n_a", percent))
+    more = stash(multiply(apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent), "links")
+    if not more.isEmpty():
+        old, state = state, components(links.union(more))
+    for done in (members, sets):
+        discard(done)
+    named = reps.join(state, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
+    least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "c").select("node", "component_id")
     # Documents without a set meet no class; spread apart, as they all have the same node.
     return ids.where("n_shingles > 0").join(named, "node").select("doc_id", "n_shingles", "component_id").union(ids.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
