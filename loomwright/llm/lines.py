@@ -1,76 +1,126 @@
 """Line dedup by an exact set-similarity join, in built-in functions only.
 
-A line's tokens are its distinct words (A-Z lower-cased), ordered by rarity: rarer words first, equal counts by the word's hash.
-Two lines match when their Jaccard similarity is at least ``percent`` / 100. Equal token sets are one class with its
-first place (doc_id, line number). Classes that share a word of their prefixes, pass the length and the positional filter and
-reach the similarity are joined; a line is removed when any line that matches it stands before it, removed or not.
-
-Blank lines have no tokens, match nothing and stay. Null texts have no lines and stay null. Ties in doc_id are ordered
-by the text's hash; whole repeated rows are told apart by none, so their lines stand at the same place. Other columns are ignored.
-An empty table gives none.
+A line's tokens are its distinct words (A-Z lower-cased), as 64-bit hashes. Two lines match when their Jaccard similarity is at
+least ``percent`` / 100. Equal token sets are one class with its first place (doc_id, text, line number). Tokens are ordered by
+rarity, taken from counts of a fixed number of cells over all lines; equal cells are ordered by hash, so that all
+lines have one order. Classes that share a token of their prefixes and pass the length and the positional filter are
+verified. First each class meets the earliest class of one of its prefix tokens; one that matches it is removed. What is
+left meets all earlier classes that share a prefix token. A line is removed when any line that matches it stands before it,
+removed or not, so the order of these two steps does not matter.
+
+Blank lines have no tokens, match nothing and stay. Null texts have no lines and stay null. Null ids come before all others. Ties
+in doc_id are ordered by the text's hash, and whole repeated rows are numbered, so that the first of them keeps its lines. Other
+columns are ignored. An empty table gives none.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stash, table, words
+from .common import LOWER, UPPER, discard, stash, table
+
+#: Cells that count tokens, and the bits of a token's hash that stay beside its count.
+CELLS, BITS = 65_536, 44
+
+
+def clean(line: Column) -> Column:
+    """Lower-cased with spaces for all gaps; the dear way only where it is needed."""
+    plain = F.octet_length(line) == F.length(line)
+    low = F.when(plain, F.lower(line)).otherwise(F.translate(line, UPPER, LOWER))
+    odd = F.contains(line, F.lit("\t")) | F.contains(line, F.lit("\r")) | F.contains(line, F.lit("\x0b")) | F.contains(line, F.lit("\x0c"))
+    return F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low)
 
 
-def least_overlap(a: Column, b: Column, percent: int) -> Column:
-    """The shared words that sizes a and b need: the least o with 100 o >= percent * (a + b - o)."""
-    return F.ceil(percent * (a + b) / F.lit(100 + percent))
+def row_key() -> Column:
+    """Tells rows with other ids or texts apart; whole repeats have the same."""
+    return F.xxhash64("doc_id", "text")
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return rows.withColumn("w", F.array_sort(F.array_distinct(words(F.translate("line", UPPER, LOWER)))))
-
-
-def earlier_matches(lines: DataFrame, percent: int = 80) -> DataFrame:
-    """Classes (w) with ``before``: the first place of the earliest class that matches, itself included."""
-    place = F.struct("doc_id", "row", "line_no")
-    classes = stash(lines.where("size(w) > 0").groupBy("w").agg(F.min(place).alias("first")).withColumn("id", F.xxhash64("w")), "classes")
-    tokens = classes.select("id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    # Rarity of every word over all classes; the join deals by word, hot words are split by AQE.
-    seen = tokens.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ranked = tokens.join(seen, "t").groupBy("id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", F.xxhash64("t").alias("h")))), lambda x: x["h"]).alias("s"))
-    ranked = stash(ranked, "ranked")
+    """doc_id, row, line_no, id, n, s (sorted hashes of the tokens) of the lines that have tokens."""
+    rows = docs.select("doc_id", row_key().alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    rows = rows.where(F.length("line") > 0).select("doc_id", "row", "line_no", F.split(clean(F.col("line")), " ").alias("w"))
+    hashes = F.transform("w", lambda x: F.when(x != "", F.xxhash64(x)))
+    rows = rows.select("doc_id", "row", "line_no", F.sort_array(F.array_compact(F.array_distinct(hashes))).alias("s")).where("size(s) > 0")
+    return rows.select("doc_id", "row", "line_no", F.xxhash64("s").alias("id"), F.size("s").alias("n"), "s")
+
+
+def rarity(lines: DataFrame) -> Column:
+    """How many tokens fall into each cell, as a constant array of fixed size."""
+    cells = lines.select(F.explode("s").alias("t")).groupBy(F.pmod("t", F.lit(CELLS)).alias("cell")).agg(F.least(F.count(F.lit(1)), F.lit((1 << (63 - BITS)) - 1)).alias("n"))
+    found = {r.cell: r.n for r in cells.collect()}  # at most CELLS rows
+    return F.from_json(F.lit(str([found.get(i, 0) for i in range(CELLS)])), "array<bigint>")
+
+
+def meets(n: str, at: str, m: str, percent: int) -> Column:
+    """Whether what a class of n tokens has from place ``at`` on suffices for one of m tokens."""
+    return (F.col(n) - F.col(at)) * (100 + percent) >= percent * (F.col(n) + F.col(m))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity."""
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """b: the classes with a match whose first place is before their own."""
+    cells = rarity(lines)
+    order = F.sort_array(F.transform("s", lambda x: F.shiftleft(F.get(cells, F.pmod(x, F.lit(CELLS)).cast("int")), BITS) + x.bitwiseAND(F.lit((1 << BITS) - 1))))
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    prefix = ranked.select("id", "n", F.posexplode(F.slice("s", F.lit(1), length.cast("int"))).alias("at", "h"))
-    a, b = (prefix.toDF(*[f"{c}_{k}" for c in ("id", "n", "at")], f"h_{k}") for k in "ab")
-    need = least_overlap(F.col("n_a"), F.col("n_b"), percent)
-    room = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # at most so many from here on
-    sizes = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b")))
-    long_enough = 100 * F.col("n_a") >= percent * F.col("n_b")
-    near = F.least("at_a", "at_b") + room >= need
-    pairs = a.join(b, (F.col("h_a") == F.col("h_b")) & sizes & long_enough & near).select("id_a", "id_b").distinct()
-    sets = ranked.select("id", "n", "s")
-    pairs = pairs.join(sets.toDF("id_a", "n_a", "s_a"), "id_a").join(sets.toDF("id_b", "n_b", "s_b"), "id_b")
-    pairs = pairs.where(F.size(F.array_intersect("s_a", "s_b")) >= need).select("id_a", "id_b")
-    first = classes.select("id", "first")
-    both = pairs.union(pairs.select("id_b", "id_a")).toDF("id", "other")
-    before = both.join(first.toDF("other", "f"), "other").groupBy("id").agg(F.min("f").alias("f"))
-    return classes.join(before, "id", "left").select("w", F.least("first", F.coalesce("f", "first")).alias("before"))
+    entries = stash(lines.select("id", "n", F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
+    common = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    members = entries.join(common, "key").distinct().join(classes, "id")
+    members = stash(members.select("key", "id", "n", "at", "first"), "members")
+    discard(entries)
+    wanted = members.select("id").distinct()
+    sets = stash(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")), "sets")
+
+    near = meets("n", "at", "n_a", percent) & meets("n_a", "at_a", "n", percent)
+    a = members.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("first").alias("first_a"))
+    hubs = a.groupBy("key").agg(F.min(F.struct("first_a", "a", "n_a", "at_a")).alias("h")).select("key", "h.*")
+    best = members.join(hubs, "key").where(near & (F.col("first_a") < F.col("first"))).groupBy("id").agg(F.min(F.struct(F.expr("at + at_a").alias("o"), "a")).alias("h"))
+    gone = stash(verified(best.select("h.a", F.col("id").alias("b")), sets, percent).select("b"), "gone")
+    left = members.join(gone, members["id"] == gone["b"], "left_anti")
+    pairs = left.join(a, "key").where(near & (F.col("first_a") < F.col("first"))).select("a", F.col("id").alias("b")).distinct()
+    out = stash(gone.union(verified(pairs, sets, percent).select("b")).distinct(), "matched")
+    for done in (members, sets, gone):
+        discard(done)
+    return out
+
+
+def removed_lines(docs: DataFrame, percent: int) -> DataFrame:
+    """row, nos: the numbers of the lines to remove, in the first of equal rows."""
+    lines = stash(split_lines(docs), "lines")
+    # Null ids first, then by id, text and line.
+    place = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.col("row"), F.col("line_no"))
+    classes = stash(lines.groupBy("id").agg(F.min(place).alias("first")), "classes")
+    late = earlier_matches(lines, classes, percent)
+    known = classes.join(late, classes["id"] == late["b"], "left").select("id", "first", F.col("b").isNotNull().alias("late"))
+    gone = lines.join(known, "id").where(F.col("late") | (F.col("first") < place))
+    out = stash(gone.groupBy("row").agg(F.collect_set("line_no").alias("nos")), "removed")
+    for done in (lines, classes, late):
+        discard(done)
+    return out
 
 
 def dedup_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """doc_id, n_lines, n_removed, text (the lines that stay)."""
     docs = docs.select("doc_id", "text")
-    lines = split_lines(docs)
-    place = F.struct("doc_id", "row", "line_no")
-    marked = lines.join(earlier_matches(lines, percent), "w", "left").withColumn("gone", F.coalesce(F.col("before") < place, F.lit(False)))
-    gone = marked.where("gone").groupBy("doc_id", "row").agg(F.collect_set("line_no").alias("gone"))
-    out = docs.withColumn("row", F.xxhash64("text")).join(gone, ["doc_id", "row"], "left")
-    nos = F.coalesce("gone", F.array().cast("array<int>"))
+    gone = removed_lines(docs, percent)
+    # The window numbers whole repeats; it is dealt as the join is.
+    out = docs.withColumn("row", row_key()).join(gone, "row", "left").withColumn("copy", F.row_number().over(Window.partitionBy("row").orderBy("row")))
     every = F.split("text", "\n")
-    kept = F.filter(every, lambda x, i: ~F.array_contains(nos, i))
-    return out.select(
+    nos = F.coalesce("nos", F.array().cast("array<int>"))
+    # Repeats of a whole row lose all lines that have a word.
+    kept = F.when(F.col("copy") > 1, F.filter(every, lambda x: ~x.rlike(r"[^\x20\x09-\x0D]"))).otherwise(F.filter(every, lambda x, i: ~F.array_contains(nos, i)))
+    return out.select("doc_id", every.alias("every"), kept.alias("kept"), "text").select(
         "doc_id",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(every)).cast("long").alias("n_lines"),
-        F.size(nos).cast("long").alias("n_removed"),
-        F.when(F.col("text").isNotNull(), F.array_join(kept, "\n")).alias("text"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("every")).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("every") - F.size("kept")).cast("long").alias("n_removed"),
+        F.when(F.col("text").isNotNull(), F.array_join("kept", "\n")).alias("text"),
     )
 
 

@@ -241,6 +241,9 @@ def test_lines(spark):
         want[d] = None if t is None else "\n".join(keep)
     assert {d: r.text for d, r in got.items()} == want
     assert lines.dedup_lines(docs(spark, [])).count() == 0
+    odd = [(None, "p q r s"), (None, "p q r s"), (1, "p q r s\n\nt u"), (1, "t u\tv"), (2, "t u"), (2, "t u")]
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_lines, r.n_removed, r.text) for r in lines.dedup_lines(docs(spark, odd)).collect())
+    assert got == [(False, 0, 1, 0, "p q r s"), (False, 0, 1, 1, ""), (True, 1, 1, 0, "t u\tv"), (True, 1, 3, 1, "\nt u"), (True, 2, 1, 1, ""), (True, 2, 1, 1, "")]
 
 
 def test_near_duplicate_stage_keeps_null_and_repeated_ids(spark):
