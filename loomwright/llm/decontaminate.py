@@ -20,12 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batch_words
-from .common import small_batches, stash, table
+from .blocks import hashed_words, mix64, pieces
+from .common import get_object, put_object, stash, table
 
 Q, EDITS, LONGEST = 12, 0.05, 240
 #: Characters of items in one block.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 2_000_000
+_LOWER_CASE = np.arange(256, dtype=np.uint8)
+_LOWER_CASE[65:91] += 32
 
 
 def codes(s: str) -> np.ndarray:
@@ -33,18 +35,38 @@ def codes(s: str) -> np.ndarray:
 
 
 def grams(c: np.ndarray, q: int = Q) -> np.ndarray:
-    n = len(c) - q + 1
-    h = np.zeros(max(0, n), dtype=np.uint64)
-    for i in range(q if n > 0 else 0):
-        h = (h + c[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-    return h
-
-
-def normal(texts: pa.Array) -> list[str]:
-    ends, found = batch_words(texts, lower=True)
-    found = found.to_pylist()
-    return [" ".join(found[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    """Hashes of all q-grams, put together from those of 1, 2, 4, ... characters."""
+    n, out, done, h, width = len(c) - q + 1, None, 0, mix64(c.astype(np.uint64) + np.uint64(1)), 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint64)
+    while done < q:
+        if q & width:
+            part = h[done : done + n]
+            out = part.copy() if out is None else (out * np.uint64(0x9E3779B97F4A7C15) ^ (out >> np.uint64(29))) + part
+            done += width
+        h = (h[:-width] * np.uint64(0xC2B2AE3D27D4EB4F) ^ (h[:-width] >> np.uint64(31))) + h[width:] if 2 * width <= q else h
+        width *= 2
+    return mix64(out)
+
+
+def normal(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Characters of all texts, lower-cased with one space between words and a line feed after each text; where each text begins and ends."""
+    bounds, _, (data, first, end) = hashed_words(texts, lower=True)
+    n = np.diff(bounds)
+    # Each word and one byte after it; the byte is a space, or a line feed after a text's last word. Empty texts have only that.
+    size = end - first + 1
+    out_at = np.cumsum(size) - size
+    src = np.repeat(first - out_at, size) + np.arange(size.sum())
+    out = _LOWER_CASE[data[np.minimum(src, max(len(data) - 1, 0))]] if len(size) else np.zeros(0, np.uint8)
+    stop = out_at + size - 1
+    out[stop] = 32
+    last = bounds[1:][n > 0] - 1
+    out[stop[last]] = 10
+    c = codes(out.tobytes().decode("utf-8", "replace"))
+    place = np.concatenate([[0], np.flatnonzero(c == 10) + 1])
+    begin = place[np.cumsum(n > 0) - (n > 0)]
+    stop = np.where(n > 0, place[np.cumsum(n > 0)] - 1, begin)
+    return c, begin, stop
 
 
 def budget(m: int) -> int:
@@ -58,7 +80,7 @@ def gram_size(m: int) -> int:
 
 
 class Patterns:
-    """Patterns of items and for each q the sorted table of their q-grams."""
+    """Patterns of items and for each q the sorted table of their q-grams, behind a bit table."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.item, self.code, self.short = [], [], []
@@ -76,77 +98,104 @@ class Patterns:
         self.tables = [(int(q), *self.table(int(q), np.flatnonzero(size == q))) for q in np.unique(size)]
 
     def table(self, q: int, which: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Pattern and place of each q-gram, sorted by hash; the distinct hashes, where each begins, how many it has."""
+        """Pattern and place of each q-gram, sorted by hash; the distinct hashes, where each begins, how many it has; a table of their leading bits."""
         every = [grams(self.code[i], q) for i in which]
         h = np.concatenate(every)
         order = np.argsort(h, kind="stable")
         pattern = np.repeat(which, [len(e) for e in every])[order]
         at = np.concatenate([np.arange(len(e)) for e in every])[order].astype(np.int64)
-        return pattern, at, *np.unique(h[order], return_index=True, return_counts=True)
+        keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
+        bits = np.zeros(1 << min(24, max(16, int(len(keys)).bit_length() + 4)), dtype=bool)
+        bits[keys >> np.uint64(64 - int(len(bits)).bit_length() + 1)] = True
+        return pattern, at, keys, first, count, bits
+
+
+def banded(patterns: list[np.ndarray], texts: np.ndarray, edits: int) -> np.ndarray:
+    """Where in its row of texts each pattern ends with at most so many edits, or -1: least edits, free ends of the text.
+
+    A row begins at the first diagonal of the band and has as many characters more than its pattern as the band has diagonals, less
+    one. Only cells of the band are computed: one vector of diagonals for each character of the pattern, for all patterns at once.
+    """
+    size = np.array([len(p) for p in patterns])
+    longest = int(size.max())
+    width = texts.shape[1] - longest + 1
+    chars = np.full((len(patterns), longest), 0xFFFFFFFE, dtype=np.uint32)
+    for row, p in zip(chars, patterns, strict=True):
+        row[: len(p)] = p
+    cost, steps, out = np.zeros((len(patterns), width), dtype=np.int32), np.arange(width, dtype=np.int32), np.full(len(patterns), -1)
+    for i in range(longest):
+        new = cost + (texts[:, i : i + width] != chars[:, i : i + 1])
+        new[:, :-1] = np.minimum(new[:, :-1], cost[:, 1:] + 1)
+        cost = np.minimum.accumulate(new - steps, axis=1) + steps
+        for k in np.flatnonzero(size == i + 1):
+            if cost[k].min() <= edits:
+                out[k] = i + 1 + int(cost[k].argmin())
+    return out
 
 
-def banded(pattern: np.ndarray, text: np.ndarray, e: int) -> int | None:
-    """Where in text the pattern ends with at most e edits, or None: least edits, free ends of the text."""
-    row = np.zeros(len(text) + 1, dtype=np.int64)
-    steps = np.arange(len(text) + 1)
-    for c in pattern:
-        new = np.empty_like(row)
-        new[0] = row[0] + 1
-        new[1:] = np.minimum(row[:-1] + (text != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
-        if row.min() > e:
-            return None
-    return int(row.argmin()) if row.min() <= e else None
+def find_in(p: Patterns, c: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(text, item_id, begin, end) in the normalised texts; begin is of the region, end of the alignment."""
+    out = []
+    if p.short:
+        for k, (a, b) in enumerate(zip(begin.tolist(), stop.tolist(), strict=True)):
+            s = c[a:b].tobytes().decode("utf-32-le", "surrogatepass")
+            out.extend((k, item, s.find(t), s.find(t) + len(t)) for item, t in p.short if f" {t} " in f" {s} ")
+    # Empty texts begin where the next one does.
+    held = np.flatnonzero(stop > begin)
+    for t in p.tables:
+        out.extend(find_near(p, t, c, begin, stop, held))
+    return out
 
 
 def find(p: Patterns, s: str) -> list[tuple[int, int, int]]:
-    """(item_id, begin, end) in the normalised text; begin is of the region, end of the alignment."""
-    out = [(item, s.find(t), s.find(t) + len(t)) for item, t in p.short if f" {t} " in f" {s} "]
-    c = codes(s)
-    for t in p.tables:
-        out.extend(find_near(p, t, c))
-    return out
+    """What find_in gives, for one normalised text."""
+    return [x[1:] for x in find_in(p, *normal(pa.array([s])))]
 
 
-def find_near(p: Patterns, table: tuple, c: np.ndarray) -> list[tuple[int, int, int]]:
-    """What find gives, for the patterns of one table."""
-    q, patterns, places, keys, first, count = table
-    out = []
+def find_near(p: Patterns, table: tuple, c: np.ndarray, begin: np.ndarray, stop: np.ndarray, held: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """What find_in gives, for the patterns of one table."""
+    q, patterns, places, keys, first, count, bits = table
     h = grams(c, q)
-    if not len(h):
-        return out
-    slot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    hit = np.flatnonzero(keys[slot] == h)
+    hit = np.flatnonzero(bits[h >> np.uint64(64 - int(len(bits)).bit_length() + 1)])
+    if not len(hit):
+        return []
+    slot = np.minimum(np.searchsorted(keys, h[hit]), len(keys) - 1)
+    hit, slot = hit[keys[slot] == h[hit]], slot[keys[slot] == h[hit]]
     if not len(hit):
-        return out
-    n = count[slot[hit]]
-    where = np.repeat(first[slot[hit]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return []
+    n = count[slot]
+    where = np.repeat(first[slot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
     pattern, at, pos = patterns[where], places[where], np.repeat(hit, n)
-    # Two overlapping bands for each hit, of twice the stride's width.
-    stride = p.edits[pattern] + 1
-    band = (pos - at) // stride
-    both = np.stack([np.concatenate([pattern, pattern]), np.concatenate([band, band - 1]), np.concatenate([at, at])], axis=1)
-    both = np.unique(both, axis=0)  # a q-gram of the pattern counts once in a band
-    edge = np.flatnonzero(np.concatenate([[True], (both[1:, :2] != both[:-1, :2]).any(axis=1)]))
-    counts = np.diff(np.append(edge, len(both)))
-    done: set[tuple[int, int]] = set()
-    for k, many in zip(both[edge, :2], counts, strict=True):
-        i, e = int(k[0]), int(p.edits[k[0]])
-        if many < p.need[i] or (i, int(k[1]) - 1) in done:
-            continue
-        low = max(0, int(k[1]) * (e + 1) - e)
-        high = min(len(c), (int(k[1]) + 2) * (e + 1) + len(p.code[i]) + e)
-        end = banded(p.code[i], c[low:high], e)
-        if end is not None:
-            done.add((i, int(k[1])))
-            out.append((p.item[i], low, low + end))
+    text = held[np.searchsorted(begin[held], pos, side="right") - 1]
+    # Two overlapping bands for each hit, of twice the stride's width; a q-gram of the pattern counts once in a band.
+    band = (pos - begin[text] - at) // (p.edits[pattern] + 1)
+    both = np.unique(np.stack([np.tile(text, 2), np.tile(pattern, 2), np.concatenate([band, band - 1]), np.tile(at, 2)]), axis=1)
+    edge = np.flatnonzero(np.concatenate([[True], (both[:3, 1:] != both[:3, :-1]).any(axis=0)]))
+    enough = np.diff(np.append(edge, both.shape[1])) >= p.need[both[1, edge]]
+    text, pattern, band = both[:3, edge[enough]]
+    out, done = [], set()
+    for e in np.unique(p.edits[pattern]):
+        rows = np.flatnonzero(p.edits[pattern] == e)
+        for k in range(0, len(rows), 1024):
+            r = rows[k : k + 1024]
+            low = band[r] * (e + 1) - e + begin[text[r]]
+            longest = max(len(p.code[i]) for i in pattern[r])
+            spot = low[:, None] + np.arange(longest + 4 * e + 2)
+            inside = (spot >= begin[text[r]][:, None]) & (spot < stop[text[r]][:, None])
+            region = np.where(inside, c[np.clip(spot, 0, len(c) - 1)], np.uint32(0xFFFFFFFF))
+            ends = banded([p.code[i] for i in pattern[r]], region, int(e))
+            for i, end in zip(np.flatnonzero(ends >= 0), ends[ends >= 0], strict=True):
+                a, t, x, k = int(begin[text[r[i]]]), int(text[r[i]]), int(pattern[r[i]]), int(band[r[i]])
+                if (t, x, k - 1) in done:  # the band before overlaps this one
+                    continue
+                done.add((t, x, k))
+                out.append((t, p.item[x], max(0, int(low[i]) - a), min(int(stop[text[r[i]]]) - a, int(low[i]) - a + int(end))))
     return out
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with ``contaminated``, ``item_ids`` and ``spans`` (item_id, begin, end in the normalised text)."""
     spark = docs.sparkSession
-    small_batches(spark)
     docs = docs.drop("contaminated", "item_ids", "spans")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("item")).where("item_id IS NOT NULL AND item IS NOT NULL").distinct()
     blocks = (items.agg(F.sum(F.length("item"))).first()[0] or 0) // BLOCK_CHARS + 1
@@ -155,14 +204,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     span = pa.list_(pa.struct([("item_id", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())]))
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()  # bounded by BLOCK_CHARS on average
-        sent = list(zip([r.item_id for r in block], normal(pa.array([r.item for r in block], pa.string())), strict=True))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            p = Patterns(sent)
-            for b in batches:
-                i = b.schema.get_field_index("spans")
-                got = [[*old, *({"item_id": x, "begin": y, "end": z} for x, y, z in find(p, s))] for s, old in zip(normal(b.column("text")), b.column(i).to_pylist(), strict=True)]
-                yield b.set_column(i, b.schema.field(i).with_type(span), pa.array(got, span))
+        c, begin, stop = normal(pa.array([r.item for r in block], pa.string()))
+        path = put_object(spark, Patterns([(r.item_id, c[a:b].tobytes().decode("utf-32-le", "surrogatepass")) for r, a, b in zip(block, begin, stop, strict=True)]))
+
+        def search(batches: Iterator[pa.RecordBatch], path=path) -> Iterator[pa.RecordBatch]:
+            p = get_object(path)
+            for batch in batches:
+                for b in pieces(batch, size=1 << 20):
+                    i = b.schema.get_field_index("spans")
+                    got = [list(old) for old in b.column(i).to_pylist()]
+                    for t, x, y, z in find_in(p, *normal(b.column("text"))):
+                        got[t].append({"item_id": x, "begin": y, "end": z})
+                    yield b.set_column(i, b.schema.field(i).with_type(span), pa.array(got, span))
 
         out = out.mapInArrow(search, schema)
         if k < blocks - 1:
