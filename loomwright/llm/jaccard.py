@@ -195,11 +195,13 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     found = stash(entries(rows, sketch, n, percent), "entries")
     remove_object(sketch)
-    shared = found.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    # Written first, so that a small table of them spares the entries a shuffle.
+    shared = stash(found.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "shared")
     members = stash(found.join(shared, "key").distinct().join(reps.select("node"), "node", "left_semi").select("key", "node", "n", "p"), "members")
     discard(found)
+    discard(shared)
 
-    wanted = members.select("node").distinct().join(reps, "node").select(F.col("rep").alias("wanted")).distinct()
+    wanted = stash(members.select("node").distinct().join(reps, "node").select(F.col("rep").alias("wanted")).distinct(), "wanted")
 
     def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,7 +229,7 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     more = stash(multiply(apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent), "links")
     if not more.isEmpty():
         old, state = state, components(links.union(more))
-    for done in (members, sets):
+    for done in (members, sets, wanted):
         discard(done)
     named = reps.join(state, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))

@@ -71,11 +71,13 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
     order = F.sort_array(F.transform("s", lambda x: F.shiftleft(F.get(cells, F.pmod(x, F.lit(CELLS)).cast("int")), BITS) + x.bitwiseAND(F.lit((1 << BITS) - 1))))
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     entries = stash(lines.select("id", "n", F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
-    common = entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+    # Written first, so that a small table of them spares the entries a shuffle.
+    common = stash(entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "common")
     members = entries.join(common, "key").distinct().join(classes, "id")
     members = stash(members.select("key", "id", "n", "at", "first"), "members")
     discard(entries)
-    wanted = members.select("id").distinct()
+    discard(common)
+    wanted = stash(members.select("id").distinct(), "wanted")
     sets = stash(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")), "sets")
 
     near = meets("n", "at", "n_a", percent) & meets("n_a", "at_a", "n", percent)
@@ -86,7 +88,7 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
     left = members.join(gone, members["id"] == gone["b"], "left_anti")
     pairs = left.join(a, "key").where(near & (F.col("first_a") < F.col("first"))).select("a", F.col("id").alias("b")).distinct()
     out = stash(gone.union(verified(pairs, sets, percent).select("b")).distinct(), "matched")
-    for done in (members, sets, gone):
+    for done in (members, sets, gone, wanted):
         discard(done)
     return out
 

@@ -119,6 +119,8 @@ def test_substrings(spark):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.remove_repeats(docs(spark, rows)).collect()}
     want = {d: (n, k, hashlib.sha256(" ".join(w).encode()).hexdigest()) for d, (n, k, w) in brute.repeats(rows).items()}
     assert got == want
+    odd = [(None, " ".join(base)), (None, " ".join(base)), (1, " ".join(base)), (1, " ".join(base)), (2, " ".join(base[:60]))]
+    assert sorted((r.doc_id or 0, r.n_removed) for r in substrings.remove_repeats(docs(spark, odd)).collect()) == [(0, 0), (0, 0), (1, 0), (1, 0), (2, 60)]
     assert substrings.remove_repeats(docs(spark, [])).count() == 0
 
 
