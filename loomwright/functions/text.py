@@ -63,7 +63,7 @@ def same_answer(a: Column, b: Column, equal=None) -> Column:
 
 def percent(c: Column) -> Column:
     """A share as per cent with one decimal, or N/A."""
-    return F.coalesce(F.format_string("%.1f%%", c * 100), F.lit("N/A"))
+    return F.when(c.isNotNull(), F.format_string("%.1f%%", c * 100)).otherwise("N/A")
 
 
 def rewritten_question(c: Column) -> Column:

@@ -1,10 +1,18 @@
-"""Dataset operators: alignment of conversations, first-wins dedup, mixing, length statistics."""
+"""Dataset operators on long tables of turns and documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import MESSAGES
+
+
+def conversations(rows: DataFrame, who: str = "role", what: str = "content") -> DataFrame:
+    """conv_id, messages of turns (conv_id, turn, role, text), in order."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.col("role").alias(who), F.col("text").alias(what))))
+    return rows.groupBy("conv_id").agg(F.transform(turns, lambda t: F.struct(t[who].alias(who), t[what].alias(what))).alias("messages"))
+
 
 def valid_conversations(rows: DataFrame) -> DataFrame:
     """conv_id, n_turns, valid: without a leading system turn the roles alternate from user and their number is even."""
@@ -12,14 +20,14 @@ def valid_conversations(rows: DataFrame) -> DataFrame:
     roles = F.transform("t", lambda x: x["role"])
     roles = F.when(F.get(roles, F.lit(0)) == "system", F.slice(roles, F.lit(2), F.size(roles))).otherwise(roles)
     turns = turns.withColumn("r", roles)
-    right = F.transform("r", lambda x, i: F.when(i % 2 == 0, x == "user").otherwise(x == "assistant"))
+    right = F.transform("r", lambda x, i: F.when(i % 2 == 0, x.isin("user", "observation")).otherwise(x.isin("assistant", "function")))
     return turns.select("conv_id", F.size("r").cast("long").alias("n_turns"), ((F.size("r") > 0) & (F.size("r") % 2 == 0) & F.forall(right, lambda x: x)).alias("valid"))
 
 
-def dedup_first(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(key).orderBy(order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def dedup_first(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+    """The first row of each key, equal keys being added up before they are dealt out; null is a value of its own."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r")).select(*[f"_r.{c}" if c in rest else c for c in rows.columns])
 
 
 def length_histogram(rows: DataFrame, width: int) -> DataFrame:
@@ -38,13 +46,9 @@ def turn_pairs(rows: DataFrame) -> DataFrame:
     return out.where("role = 'assistant' AND before = 'user'").select("conv_id", "turn", "prompt", F.col("text").alias("response"))
 
 
-def kept_ratio(rows: DataFrame, kept: str, *by: str) -> DataFrame:
-    """Rows and kept rows for each level of a rollup."""
-    return rows.rollup(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(kept).cast("long")).alias("n_kept"))
+def unique_sequence(c):
+    """An array with each item once, at its first place."""
+    return F.array_distinct(c)
 
 
-def interleave_under(rows: DataFrame, part: str, order: str) -> DataFrame:
-    """Rows of all parts in turn until the smallest part is used up: part, rank in the part."""
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(part).orderBy(order)))
-    least = rows.groupBy(part).count().agg(F.min("count").alias("least"))
-    return ranked.join(F.broadcast(least), F.col("rank") <= F.col("least")).drop("least")
+__all__ = ["MESSAGES", "conversations", "dedup_first", "length_histogram", "turn_pairs", "unique_sequence", "valid_conversations"]

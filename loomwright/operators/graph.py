@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def edges_by_type(edges: DataFrame) -> DataFrame:
-    """etype, n of an edge table (src, dst, etype)."""
-    return edges.groupBy("etype").agg(F.count(F.lit(1)).alias("n"))
+    """etype, n of an edge table (src, dst, etype); repeated edges count once."""
+    return edges.distinct().groupBy("etype").agg(F.count(F.lit(1)).alias("n"))
 
 
 def coalesce_edges(edges: DataFrame) -> DataFrame:
@@ -17,5 +17,6 @@ def coalesce_edges(edges: DataFrame) -> DataFrame:
 
 
 def unique_hops(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of the join on ``mid`` whose key has exactly one answer."""
-    return left.join(right, "mid").groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("answer").alias("answer")).where("n = 1").drop("n")
+    """Distinct paths of the join on ``mid`` whose key has exactly one."""
+    paths = left.distinct().join(right.distinct(), "mid")
+    return paths.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("answer").alias("answer")).where("n = 1").drop("n")

@@ -1 +1 @@
-"""Sources of the engine."""
+"""Tables from and to files."""
