@@ -67,8 +67,8 @@ def interleave_by_chance(rows: DataFrame, part: str, order: str, shares: dict[st
     drawn = rows.sparkSession.range(slots).withColumnRenamed("id", "position").withColumn("_draw", F.coalesce(draw, F.lit(bounds[-1][1])))
     turns = _ranked(drawn, "_draw", "position")
     sizes = part_sizes(rows, part).select(F.col(part).alias("_draw"), "size")
-    turns = turns.join(sizes, "_draw").select("position", "_draw", (F.pmod(F.col("_rank") - 1, F.col("size")) + 1).cast("int").alias("rank"))
-    return turns.join(ranked(rows, part, order), (F.col("_draw") == F.col(part)) & (turns["rank"] == F.col("rank"))).drop(turns["rank"]).drop("_draw", "rank")
+    turns = turns.join(sizes, "_draw").select("position", "_draw", (F.pmod(F.col("_rank") - 1, F.col("size")) + 1).cast("int").alias("_turn"))
+    return turns.join(ranked(rows, part, order), (F.col("_draw") == F.col(part)) & (F.col("_turn") == F.col("rank"))).drop("_draw", "_turn", "rank")
 
 
 def first_rows(rows: DataFrame, n: int, order: str) -> DataFrame:
