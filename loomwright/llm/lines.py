@@ -4,9 +4,9 @@ A line's tokens are its distinct words (A-Z lower-cased), as 64-bit hashes. Two
 least ``percent`` / 100. Equal token sets are one class with its first place (doc_id, text, line number). Tokens are ordered by
 rarity, taken from counts of a fixed number of cells over all lines; equal cells are ordered by hash, so that all
 lines have one order. Classes that share a token of their prefixes and pass the length and the positional filter are
-verified. First each class meets the earliest class of one of its prefix tokens; one that matches it is removed. What is
-left meets all earlier classes that share a prefix token. A line is removed when any line that matches it stands before it,
-removed or not, so the order of these two steps does not matter.
+verified. First each class meets, of those that come first in one of its prefix tokens, the one with the most left; the later of two
+that match is removed. What is left meets all classes that share a prefix token. A line is removed when any line that matches it
+stands before it, removed or not, so the order of these two steps does not matter.
 
 Blank lines have no tokens, match nothing and stay. Null texts have no lines and stay null. Null ids come before all others. Ties
 in doc_id are ordered by the text's hash, and whole repeated rows are numbered, so that the first of them keeps its lines. Other
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, discard, stash, table
 
 #: Cells that count tokens, and the bits of a token's hash that stay beside its count.
-CELLS, BITS = 65_536, 44
+CELLS, BITS = 1 << 18, 44
 
 
 def clean(line: Column) -> Column:
@@ -49,8 +49,11 @@ def split_lines(docs: DataFrame) -> DataFrame:
 def rarity(lines: DataFrame) -> Column:
     """How many tokens fall into each cell, as a constant array of fixed size."""
     cells = lines.select(F.explode("s").alias("t")).groupBy(F.pmod("t", F.lit(CELLS)).alias("cell")).agg(F.least(F.count(F.lit(1)), F.lit((1 << (63 - BITS)) - 1)).alias("n"))
-    found = {r.cell: r.n for r in cells.collect()}  # at most CELLS rows
-    return F.from_json(F.lit(str([found.get(i, 0) for i in range(CELLS)])), "array<bigint>")
+    found = cells.toArrow().to_pydict()  # at most CELLS rows
+    counts = [0] * CELLS
+    for cell, n in zip(found["cell"], found["n"], strict=True):
+        counts[cell] = n
+    return F.from_json(F.lit(str(counts)), "array<bigint>")
 
 
 def meets(n: str, at: str, m: str, percent: int) -> Column:
@@ -73,22 +76,29 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
     entries = stash(lines.select("id", "n", F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
     # Written first, so that a small table of them spares the entries a shuffle.
     common = stash(entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "common")
-    members = entries.join(common, "key").distinct().join(classes, "id")
-    members = stash(members.select("key", "id", "n", "at", "first"), "members")
+    members = stash(entries.join(common, "key").distinct(), "members")
     discard(entries)
     discard(common)
     wanted = stash(members.select("id").distinct(), "wanted")
     sets = stash(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")), "sets")
-
-    near = meets("n", "at", "n_a", percent) & meets("n_a", "at_a", "n", percent)
-    a = members.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("first").alias("first_a"))
-    hubs = a.groupBy("key").agg(F.min(F.struct("first_a", "a", "n_a", "at_a")).alias("h")).select("key", "h.*")
-    best = members.join(hubs, "key").where(near & (F.col("first_a") < F.col("first"))).groupBy("id").agg(F.min(F.struct(F.expr("at + at_a").alias("o"), "a")).alias("h"))
-    gone = stash(verified(best.select("h.a", F.col("id").alias("b")), sets, percent).select("b"), "gone")
-    left = members.join(gone, members["id"] == gone["b"], "left_anti")
-    pairs = left.join(a, "key").where(near & (F.col("first_a") < F.col("first"))).select("a", F.col("id").alias("b")).distinct()
-    out = stash(gone.union(verified(pairs, sets, percent).select("b")).distinct(), "matched")
-    for done in (members, sets, gone, wanted):
+    place = lambda k: classes.select(F.col("id").alias(k), F.col("first").alias(f"first_{k}"))
+
+    def later(pairs: DataFrame) -> DataFrame:
+        """b: of each pair that matches, the class that comes later."""
+        found = verified(pairs, sets, percent).join(place("a"), "a").join(place("b"), "b")
+        return found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("b"))
+
+    near = meets("n", "at", "n_a", percent) & meets("n_a", "at_a", "n", percent) & (F.col("id") != F.col("a"))
+    a = members.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
+    hubs = a.groupBy("key").agg(F.min(F.struct("at_a", "n_a", "a")).alias("h")).select("key", "h.*")
+    best = members.join(hubs, "key").where(near).groupBy("id").agg(F.min(F.struct(F.expr("at + at_a").alias("o"), "a")).alias("h"))
+    gone = stash(later(best.select("h.a", F.col("id").alias("b"))).distinct(), "gone")
+    # Classes that are not gone yet meet all others; a pair of two such classes is tried once.
+    left = stash(members.join(gone, members["id"] == gone["b"], "left_anti"), "left")
+    open_ = left.select(F.col("id").alias("a")).distinct().withColumn("open", F.lit(True))
+    pairs = left.join(a, "key").where(near).select("a", F.col("id").alias("b")).distinct().join(open_, "a", "left").where("open IS NULL OR a < b").select("a", "b")
+    out = stash(gone.union(later(pairs)).distinct(), "matched")
+    for done in (members, sets, gone, wanted, left):
         discard(done)
     return out
 
