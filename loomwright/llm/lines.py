@@ -69,7 +69,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """b: the classes with a match whose first place is before their own."""
+    """b: the classes with a match whose first place is before their own. The files of ``lines`` are deleted."""
     cells = rarity(lines)
     order = F.sort_array(F.transform("s", lambda x: F.shiftleft(F.get(cells, F.pmod(x, F.lit(CELLS)).cast("int")), BITS) + x.bitwiseAND(F.lit((1 << BITS) - 1))))
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
@@ -81,6 +81,7 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
     discard(common)
     wanted = stash(members.select("id").distinct(), "wanted")
     sets = stash(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")), "sets")
+    discard(lines)  # the last use of its tokens
     place = lambda k: classes.select(F.col("id").alias(k), F.col("first").alias(f"first_{k}"))
 
     def later(pairs: DataFrame) -> DataFrame:
@@ -109,11 +110,12 @@ def removed_lines(docs: DataFrame, percent: int) -> DataFrame:
     # Null ids first, then by id, text and line.
     place = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.col("row"), F.col("line_no"))
     classes = stash(lines.groupBy("id").agg(F.min(place).alias("first")), "classes")
+    places = stash(lines.drop("n", "s"), "places")
     late = earlier_matches(lines, classes, percent)
     known = classes.join(late, classes["id"] == late["b"], "left").select("id", "first", F.col("b").isNotNull().alias("late"))
-    gone = lines.join(known, "id").where(F.col("late") | (F.col("first") < place))
+    gone = places.join(known, "id").where(F.col("late") | (F.col("first") < place))
     out = stash(gone.groupBy("row").agg(F.collect_set("line_no").alias("nos")), "removed")
-    for done in (lines, classes, late):
+    for done in (places, classes, late):
         discard(done)
     return out
 
