@@ -7,10 +7,37 @@ from xml.sax.saxutils import escape, quoteattr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..lineage import cut
 from .files import store_of
 
-#: Colour of a node by its type.
-COLOURS = {"Module": "#1f77b4", "File": "#7f7f7f", "Library": "#ff7f0e", "Function": "#2ca02c", "Test": "#d62728", "ExternalAPI": "#9467bd"}
+#: Colour of a node by its type, and of others.
+COLOURS = {"Module": "#ffcc00", "Function": "#66cc66", "Test": "#ff6666", "Library": "#66b2ff", "ExternalAPI": "#cc99ff", "File": "#cccccc"}
+OTHER_COLOUR = "#dddddd"
+
+#: Draws the nodes on a spiral and shows what lies under the pointer.
+_PAGE = (
+    """<!DOCTYPE html>
+<html><head><meta charset="utf-8"><style>body{margin:0;font:12px sans-serif}#tip{position:fixed;background:#fff;border:1px solid #999;padding:2px 4px}</style></head>
+<body><svg id="view" width="100%" height="100vh"></svg><div id="tip" hidden></div><script>
+const nodes = [""",
+    """], edges = [""",
+    """];
+const view = document.getElementById("view"), tip = document.getElementById("tip"), at = {}, ns = "http://www.w3.org/2000/svg";
+const side = 40 + 24 * Math.sqrt(nodes.length || 1);
+view.setAttribute("viewBox", [-side, -side, 2 * side, 2 * side].join(" "));
+function add(tag, attrs, text) {
+  const e = document.createElementNS(ns, tag);
+  for (const k in attrs) e.setAttribute(k, attrs[k]);
+  e.onmousemove = m => { tip.hidden = false; tip.style.left = m.clientX + 9 + "px"; tip.style.top = m.clientY + 9 + "px"; tip.textContent = text; };
+  e.onmouseout = () => { tip.hidden = true; };
+  view.appendChild(e);
+}
+nodes.forEach((n, i) => { const r = 22 * Math.sqrt(i), t = 2.399963 * i; at[n.id] = [r * Math.cos(t), r * Math.sin(t)]; });
+edges.forEach(e => { const a = at[e.source], b = at[e.target]; if (a && b) add("line", {x1: a[0], y1: a[1], x2: b[0], y2: b[1], stroke: "#999999"}, e.source + " " + e.label + " " + e.target); });
+nodes.forEach(n => add("circle", {cx: at[n.id][0], cy: at[n.id][1], r: 7, fill: n.color}, n.label + " - " + n.title));
+</script></body></html>
+""",
+)
 
 
 def write_jsonl(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -67,7 +94,8 @@ def write_graphml(nodes: DataFrame, edges: DataFrame, path: str) -> None:
 
 def write_routed(rows: DataFrame, accepted: Column, good: str, bad: str) -> DataFrame:
     """Two JSON tables by a predicate; returns kept, rejected, kept_ratio."""
-    rows = rows.withColumn("_ok", F.coalesce(accepted, F.lit(False)))
+    # Made once, as a model's answers may differ when they are made again.
+    rows = cut(rows.withColumn("_ok", F.coalesce(accepted, F.lit(False))))
     write_jsonl(rows.where("_ok").drop("_ok"), good)
     write_jsonl(rows.where("NOT _ok").drop("_ok"), bad)
     return routed_stats(rows, "_ok", good, bad)
@@ -107,5 +135,17 @@ def shown_graph(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFram
     """id, label, title, color of nodes, and source, target, label of edges, for a drawing."""
     colour = F.create_map(*[F.lit(x) for pair in COLOURS.items() for x in pair])
     label = F.coalesce(F.nullif("name", F.lit("")), F.nullif("path", F.lit("")), F.col("id"))
-    shown = nodes.select("id", label.alias("label"), F.concat_ws(": ", "node_type", "id").alias("title"), F.coalesce(F.try_element_at(colour, F.col("node_type")), F.lit("#cccccc")).alias("color"))
+    shown = nodes.select("id", label.alias("label"), F.concat_ws(": ", "node_type", "id").alias("title"), F.coalesce(F.try_element_at(colour, F.col("node_type")), F.lit(OTHER_COLOUR)).alias("color"))
     return shown, edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.array_join(F.array_sort("etypes"), ", ").alias("label"))
+
+
+def write_graph_html(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The graph as one page that draws itself, nodes coloured by type; streamed to the driver row by row, as a single file has one writer."""
+    store, at = store_of(path)
+    with store.open_output_stream(at) as out:
+        for head, t in zip(_PAGE, shown_graph(nodes, edges)):  # noqa: B905
+            out.write(head.encode())
+            # No text may end the script.
+            for k, r in enumerate(t.select(F.replace(F.to_json(F.struct("*")), F.lit("<"), F.lit("\\u003c")).alias("value")).toLocalIterator()):
+                out.write((",\n" * (k > 0) + r.value).encode())
+        out.write(_PAGE[2].encode())
