@@ -21,6 +21,7 @@ import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -171,6 +172,14 @@ class Encoder:
         return ids, np.diff(last, prepend=0)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(file: str, end_id: int) -> Encoder:
+    """One for all tasks of a worker, as a tokenizer takes much memory to load and the words seen serve the next task too."""
+    from tokenizers import Tokenizer
+
+    return Encoder(Tokenizer.from_file(file), end_id)
+
+
 def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, length: int = SEQUENCE, end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Write the shards, as many as the text needs or as given; returns shard, path, n_docs, n_tokens."""
     file = tokenizer or default_tokenizer()
@@ -178,9 +187,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str | None = None, len
     store.create_dir(at, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        encoder, shard = Encoder(Tokenizer.from_file(file), end_id), TaskContext.get().partitionId()
+        encoder, shard = encoder_of(file, end_id), TaskContext.get().partitionId()
         path, index = f"{folder}/shard-{shard:06d}", []
 
         def sequences():
