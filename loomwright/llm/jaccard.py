@@ -7,9 +7,10 @@
    formed on these columns alone, in blocks of a column each; columns with one row drop out.
 3. An entry at place ``p`` of a row of ``n`` that is the first shared one leaves an overlap of at most ``n - p``.
    Entries whose bound on either side is below the overlap that both sizes need are discarded unseen.
-4. In each column one row, the one with the most left, is multiplied with the others first; links are folded into
-   components. Then all entries whose rows still lie in different components are multiplied. Copies of one text
-   thus meet in a star, not in pairs.
+4. Of columns with the very same rows the first is kept. In each column one row, the one with the most left, is multiplied
+   with the others: first each row with the best of its columns, then with all of them. Links are folded into components
+   after each step, and at last all entries whose rows still lie in different components are multiplied. Copies of one
+   text thus meet in stars, not in pairs.
 5. The product of the pairs that are left adds up overlap counts over sorted n-grams for a block of pairs at a time; pairs with
    ``100 * overlap < percent * union`` are discarded.
 
@@ -37,6 +38,8 @@ from .common import discard, get_object, put_object, remove_object, stash, table
 CELLS, PARTS, FAN_IN = 1 << 21, 8, 32
 #: N-grams of both sides in one block of pairs.
 BLOCK_GRAMS = 2_000_000
+#: Bits of the mask of ids whose texts are read again.
+MASK_BITS = 1 << 22
 
 
 def cell(grams: np.ndarray) -> np.ndarray:
@@ -163,9 +166,42 @@ def overlaps(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return np.bincount(which[1:][both], minlength=len(left))
 
 
+def first_of_equal(members: DataFrame) -> DataFrame:
+    """key: of columns with the very same rows the first in the common order, which is the first that any two of them share."""
+    rows = members.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"), F.sum(F.col("p").cast("long")).alias("p"))
+    return rows.groupBy("rows", "x", "y").agg(F.min(F.struct("p", "key")).alias("first")).select("first.key")
+
+
+def rows_as_sets(rows: DataFrame, pairs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
+    """node, s (sorted n-grams) of the rows in pairs. A mask of fixed size spares most other texts; it only passes more where it is full."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = stash(nodes.join(reps, "node").select("node", "rep"), "wanted")
+    bit = F.pmod(F.xxhash64("rep"), F.lit(MASK_BITS))
+    found = wanted.groupBy(F.floor(bit / 32).cast("int").alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(rep), {MASK_BITS}) % 32 as int)))").alias("bits")).toArrow()  # at most MASK_BITS / 32 rows
+    mask = np.zeros(MASK_BITS // 32, dtype=np.uint32)
+    mask[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.uint32)
+    path = put_object(rows.sparkSession, zlib.compress(mask.tobytes(), 1))
+
+    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.frombuffer(zlib.decompress(get_object(path)), np.uint32)
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            for b in pieces(batch.filter(pa.array((mask[bit // 32] >> (bit % 32).astype(np.uint32)) & 1 == 1))):
+                _, grams, size, number = incidence(b.column("text"), n)
+                cut = np.concatenate([[0], np.cumsum(size)])
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array([grams[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "s"])
+
+    sets = rows.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MASK_BITS)).alias("bit")).mapInArrow(as_sets, "node long, s binary")
+    out = stash(sets.join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "rows")
+    remove_object(path)
+    discard(wanted)
+    return out
+
+
 def multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that meet the bound."""
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+    # Merged at any size, so that a small run shows what a large one does.
+    left, right = sets.toDF("a", "sa").hint("merge"), sets.toDF("b", "sb").hint("merge")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,40 +233,52 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     remove_object(sketch)
     # Written first, so that a small table of them spares the entries a shuffle.
     shared = stash(found.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key"), "shared")
-    members = stash(found.join(shared, "key").distinct().join(reps.select("node"), "node", "left_semi").select("key", "node", "n", "p"), "members")
+    every = stash(found.join(shared, "key").distinct().join(reps.select("node"), "node", "left_semi").select("key", "node", "n", "p"), "members")
     discard(found)
     discard(shared)
+    members = stash(every.join(first_of_equal(every), "key"), "members")
+    discard(every)
+
+    def product(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that meet the bound; only rows in a pair are read as sets."""
+        pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+        sets = rows_as_sets(rows, pairs, reps, n)
+        out = stash(multiply(pairs, sets, percent), "links")
+        for done in (pairs, sets):
+            discard(done)
+        return out
 
-    wanted = stash(members.select("node").distinct().join(reps, "node").select(F.col("rep").alias("wanted")).distinct(), "wanted")
+    # In each column the row with the most left is the hub of the others; a row goes to its best hub.
+    hub = F.min(F.struct("p", "n", F.col("node").alias("hub"))).alias("h")
+    hubs = members.groupBy("key").agg(hub).select("key", F.col("h.p").alias("hp"), F.col("h.n").alias("hn"), "h.hub")
+    meets = left_of("n", "p", "hn", percent) & left_of("hn", "hp", "n", percent)
+    near = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & meets)
+    links = product(near.groupBy("node").agg(F.min(F.struct(F.expr("p + hp").alias("o"), "hub")).alias("h")).select(F.col("node").alias("a"), F.col("h.hub").alias("b")))
+    state = components(links)
 
-    def as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b in pieces(batch):
-                own, grams, size, number = incidence(b.column("text"), n)
-                cut = np.concatenate([[0], np.cumsum(size)])
-                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array([grams[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "s"])
+    def apart(state: DataFrame) -> DataFrame:
+        """Members in columns of more than one component, with their component c."""
+        labelled = members.join(state, "node", "left").select("key", "node", "n", "p", F.coalesce("component", "node").alias("c"))
+        mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        return labelled.join(mixed, "key")
 
-    sets = rows.join(wanted, rows["doc_id"].eqNullSafe(wanted["wanted"]), "left_semi").mapInArrow(as_sets, "node long, s binary")
-    sets = stash(sets.dropDuplicates(["node"]), "rows")
+    def fold(pairs: DataFrame) -> None:
+        nonlocal links, state
+        more = product(pairs)
+        if not more.isEmpty():
+            links = links.union(more)
+            state = components(links)
 
-    # In each column the row with the most left is the hub of the others; a row goes to its best hub.
-    hubs = members.groupBy("key").agg(F.min(F.struct("p", "n", F.col("node").alias("hub"))).alias("h")).select("key", F.col("h.p").alias("hp"), F.col("h.n").alias("hn"), "h.hub")
-    near = members.join(hubs, "key").where((F.col("node") != F.col("hub")) & left_of("n", "p", "hn", percent) & left_of("hn", "hp", "n", percent))
-    pairs = near.groupBy("node").agg(F.min(F.struct(F.expr("p + hp").alias("o"), "hub")).alias("h")).select("node", F.col("h.hub").alias("hub"))
-    links = stash(multiply(pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), sets, percent), "links")
+    # Then every row meets the hub of each of its columns, while they lie in different components.
+    open_ = apart(state)
+    hubs = open_.groupBy("key").agg(F.min(F.struct("p", "n", F.col("node").alias("hub"), F.col("c").alias("hc"))).alias("h")).select("key", F.col("h.p").alias("hp"), F.col("h.n").alias("hn"), "h.hub", "h.hc")
+    fold(open_.join(hubs, "key").where((F.col("c") != F.col("hc")) & meets).select(F.col("node").alias("a"), F.col("hub").alias("b")))
 
     # What lies in different components after that.
-    state = components(links)
-    labelled = members.join(state, "node", "left").select("key", "node", "n", "p", F.coalesce("component", "node").alias("c"))
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    open_ = labelled.join(mixed, "key")
-    a, b = (open_.toDF("key", *[f"{c}_{k}" for c in ("node", "n", "p", "c")]) for k in "ab")
-    apart = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & left_of("n_a", "p_a", "n_b", percent) & left_of("n_b", "p_b", "n_a", percent))
-    more = stash(multiply(apart.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, percent), "links")
-    if not more.isEmpty():
-        old, state = state, components(links.union(more))
-    for done in (members, sets, wanted):
-        discard(done)
+    a, b = (apart(state).toDF("key", *[f"{c}_{k}" for c in ("node", "n", "p", "c")]) for k in "ab")
+    rest = a.join(b, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("c_a") != F.col("c_b")) & left_of("n_a", "p_a", "n_b", percent) & left_of("n_b", "p_b", "n_a", percent))
+    fold(rest.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    discard(members)
     named = reps.join(state, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("c"))
     least = named.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "c").select("node", "component_id")

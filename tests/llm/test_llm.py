@@ -30,6 +30,25 @@ def test_jaccard(spark, n, percent):
     assert jaccard.join_classes(docs(spark, [])).count() == 0
 
 
+def test_jaccard_keeps_the_first_of_columns_with_the_same_rows(spark):
+    rows = [(1, 10, 2), (1, 20, 5), (2, 10, 1), (2, 20, 3), (3, 10, 0), (3, 30, 0), (4, 10, 3), (4, 20, 6), (4, 30, 9)]
+    members = spark.createDataFrame([(k, node, 9, p) for k, node, p in rows], "key long, node long, n int, p int")
+    assert sorted(r.key for r in jaccard.first_of_equal(members).collect()) == [2, 3, 4]
+
+
+def test_jaccard_reads_sets_of_rows_in_a_pair_only(spark, monkeypatch):
+    sets, multiply = [], jaccard.multiply
+    monkeypatch.setattr(jaccard, "multiply", lambda pairs, s, percent: sets.append(s.count()) or multiply(pairs, s, percent))
+    # Short texts share the long one's n-grams, each its own, but no pair can meet the bound.
+    words = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(words)), *[(k, " ".join(words[k * 6 - 6 : k * 6 + 2])) for k in range(1, 11)]]
+    got = {r.doc_id: r.component_id for r in jaccard.join_classes(docs(spark, rows), 3, 90).collect()}
+    assert got == {k: k for k in range(11)}
+    assert sum(sets) == 0
+    got = {r.doc_id: r.component_id for r in jaccard.join_classes(docs(spark, [(k, " ".join([f"x{k}", *words])) for k in range(3)]), 3, 90).collect()}
+    assert got == {0: 0, 1: 0, 2: 0} and 0 < max(sets) <= 3
+
+
 def test_quality(spark):
     got = {r.doc_id: r for r in quality.apply_rules(docs(spark)).collect()}
     assert got[0].n_words == got[1].n_words == got[2].n_words == 0 and got[0].base_failed and not got[0].kept
