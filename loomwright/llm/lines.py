@@ -3,8 +3,8 @@
 A line's tokens are its distinct words (A-Z lower-cased), as 64-bit hashes. Two lines match when their Jaccard similarity is at
 least ``percent`` / 100. Equal token sets are one class with its first place (doc_id, text, line number). Tokens are ordered by
 rarity, taken from counts of a fixed number of cells over all lines; equal cells are ordered by hash, so that all
-lines have one order. Classes that share a token of their prefixes and pass the length and the positional filter are
-verified. First each class meets, of those that come first in one of its prefix tokens, the one with the most left; the later of two
+lines have one order. Classes that share a token of their prefixes, pass the length and the positional filter and whose signatures differ in few
+enough bits are verified. First each class meets, of those that come first in one of its prefix tokens, the one with the most left; the later of two
 that match is removed. What is left meets all classes that share a prefix token. A line is removed when any line that matches it
 stands before it, removed or not, so the order of these two steps does not matter.
 
@@ -68,38 +68,53 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
 
+def signature() -> Column:
+    """64 bits, each the parity of the tokens that fall on it; two sets differ in as many tokens as signatures in bits, or more."""
+    return F.aggregate("s", F.lit(0).cast("long"), lambda x, t: x.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(t, 58).cast("int"))))
+
+
+def alike(n: str, sig: str, m: str, other: str, percent: int) -> Column:
+    """Whether signatures differ in no more bits than sets of n and m tokens that match may differ in tokens."""
+    return F.bit_count(F.col(sig).bitwiseXOR(F.col(other))) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
+
+
 def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """b: the classes with a match whose first place is before their own. The files of ``lines`` are deleted."""
+    """b: the classes with a match whose first place is before their own."""
     cells = rarity(lines)
     order = F.sort_array(F.transform("s", lambda x: F.shiftleft(F.get(cells, F.pmod(x, F.lit(CELLS)).cast("int")), BITS) + x.bitwiseAND(F.lit((1 << BITS) - 1))))
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
-    entries = stash(lines.select("id", "n", F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
+    # The signature in a step before, else it is made again for each entry.
+    entries = stash(lines.withColumn("sig", signature()).select("id", "n", "sig", F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
     # Written first, so that a small table of them spares the entries a shuffle.
     common = stash(entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "common")
     members = stash(entries.join(common, "key").distinct(), "members")
     discard(entries)
     discard(common)
-    wanted = stash(members.select("id").distinct(), "wanted")
-    sets = stash(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")), "sets")
-    discard(lines)  # the last use of its tokens
     place = lambda k: classes.select(F.col("id").alias(k), F.col("first").alias(f"first_{k}"))
 
     def later(pairs: DataFrame) -> DataFrame:
-        """b: of each pair that matches, the class that comes later."""
+        """b: of each pair that matches, the class that comes later. Only tokens of lines in a pair are gathered."""
+        pairs = stash(pairs, "pairs")
+        wanted = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
+        sets = stash(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")), "sets")
         found = verified(pairs, sets, percent).join(place("a"), "a").join(place("b"), "b")
-        return found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("b"))
-
-    near = meets("n", "at", "n_a", percent) & meets("n_a", "at_a", "n", percent) & (F.col("id") != F.col("a"))
-    a = members.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"))
-    hubs = a.groupBy("key").agg(F.min(F.struct("at_a", "n_a", "a")).alias("h")).select("key", "h.*")
+        out = stash(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct(), "later")
+        for done in (pairs, wanted, sets):
+            discard(done)
+        return out
+
+    near = meets("n", "at", "n_a", percent) & meets("n_a", "at_a", "n", percent) & alike("n", "sig", "n_a", "sig_a", percent) & (F.col("id") != F.col("a"))
+    a = members.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("sig").alias("sig_a"))
+    hubs = a.groupBy("key").agg(F.min(F.struct("at_a", "n_a", "a", "sig_a")).alias("h")).select("key", "h.*")
     best = members.join(hubs, "key").where(near).groupBy("id").agg(F.min(F.struct(F.expr("at + at_a").alias("o"), "a")).alias("h"))
-    gone = stash(later(best.select("h.a", F.col("id").alias("b"))).distinct(), "gone")
+    gone = later(best.select("h.a", F.col("id").alias("b")))
     # Classes that are not gone yet meet all others; a pair of two such classes is tried once.
     left = stash(members.join(gone, members["id"] == gone["b"], "left_anti"), "left")
     open_ = left.select(F.col("id").alias("a")).distinct().withColumn("open", F.lit(True))
     pairs = left.join(a, "key").where(near).select("a", F.col("id").alias("b")).distinct().join(open_, "a", "left").where("open IS NULL OR a < b").select("a", "b")
-    out = stash(gone.union(later(pairs)).distinct(), "matched")
-    for done in (members, sets, gone, wanted, left):
+    more = later(pairs)
+    out = stash(gone.union(more).distinct(), "matched")
+    for done in (members, gone, more, left):
         discard(done)
     return out
 
@@ -115,7 +130,7 @@ def removed_lines(docs: DataFrame, percent: int) -> DataFrame:
     known = classes.join(late, classes["id"] == late["b"], "left").select("id", "first", F.col("b").isNotNull().alias("late"))
     gone = places.join(known, "id").where(F.col("late") | (F.col("first") < place))
     out = stash(gone.groupBy("row").agg(F.collect_set("line_no").alias("nos")), "removed")
-    for done in (places, classes, late):
+    for done in (lines, places, classes, late):
         discard(done)
     return out
 

@@ -267,6 +267,17 @@ def test_lines(spark):
     assert got == [(False, 0, 1, 0, "p q r s"), (False, 0, 1, 1, ""), (True, 1, 1, 0, "t u\tv"), (True, 1, 3, 1, "\nt u"), (True, 2, 1, 1, ""), (True, 2, 1, 1, "")]
 
 
+def test_lines_compares_only_pairs_with_like_signatures(spark, monkeypatch):
+    tried, verified = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    # Two lines each share their rarest word, and others, but are far from a match; the last is one word off the first.
+    rows = [(i, " ".join([f"p{i // 2}", *(f"w{(i * 7 + k * (3 + i % 5)) % 41}" for k in range(11))])) for i in range(40)]
+    rows.append((40, rows[0][1].replace("p0", "q")))
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs(spark, rows), 80).collect()}
+    assert got == {i: int(i == 40) for i in range(41)}
+    assert 1 <= sum(tried) <= 3
+
+
 def test_near_duplicate_stage_keeps_null_and_repeated_ids(spark):
     import corpus_pipeline
 
