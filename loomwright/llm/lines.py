@@ -15,6 +15,8 @@ columns are ignored. An empty table gives none.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ from .common import LOWER, UPPER, discard, stash, table
 
 #: Cells that count tokens, and the bits of a token's hash that stay beside its count.
 CELLS, BITS = 1 << 18, 44
+#: Parts of the keys, and of the classes, that are joined one after the other.
+PARTS = 4
 
 
 def clean(line: Column) -> Column:
@@ -78,43 +82,67 @@ def alike(n: str, sig: str, m: str, other: str, percent: int) -> Column:
     return F.bit_count(F.col(sig).bitwiseXOR(F.col(other))) * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent)
 
 
+def union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, parts)
+
+
 def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """b: the classes with a match whose first place is before their own."""
+    """b: the classes with a match whose first place is before their own. The files of ``lines`` are deleted after their last use."""
     cells = rarity(lines)
     order = F.sort_array(F.transform("s", lambda x: F.shiftleft(F.get(cells, F.pmod(x, F.lit(CELLS)).cast("int")), BITS) + x.bitwiseAND(F.lit((1 << BITS) - 1))))
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     # The signature in a step before, else it is made again for each entry.
     entries = stash(lines.withColumn("sig", signature()).select("id", "n", "sig", F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
-    # Written first, so that a small table of them spares the entries a shuffle.
-    common = stash(entries.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "common")
-    members = stash(entries.join(common, "key").distinct(), "members")
+    # By parts of the keys, so that shuffles hold one part at a time.
+    members = []
+    for part in range(PARTS):
+        own = entries.where(F.pmod("key", F.lit(PARTS)) == part)
+        # Written first, so that a small table of them spares the entries a shuffle.
+        common = stash(own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "common")
+        members.append(stash(own.join(common, "key").distinct(), "members"))
+        discard(common)
     discard(entries)
-    discard(common)
     place = lambda k: classes.select(F.col("id").alias(k), F.col("first").alias(f"first_{k}"))
 
-    def later(pairs: DataFrame) -> DataFrame:
+    def later(pairs: DataFrame, last: bool = False) -> DataFrame:
         """b: of each pair that matches, the class that comes later. Only tokens of lines in a pair are gathered."""
         pairs = stash(pairs, "pairs")
         wanted = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "wanted")
-        sets = stash(lines.join(wanted, "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")), "sets")
-        found = verified(pairs, sets, percent).join(place("a"), "a").join(place("b"), "b")
+        sets = []
+        for part in range(PARTS):
+            own = F.pmod("id", F.lit(PARTS)) == part
+            sets.append(stash(lines.where(own).join(wanted.where(own), "id", "left_semi").groupBy("id").agg(F.first("s").alias("s")), "sets"))
+        if last:
+            discard(lines)
+        found = verified(pairs, union(sets), percent).join(place("a"), "a").join(place("b"), "b")
         out = stash(found.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("b")).distinct(), "later")
-        for done in (pairs, wanted, sets):
+        for done in (pairs, wanted, *sets):
             discard(done)
         return out
 
     near = meets("n", "at", "n_a", percent) & meets("n_a", "at_a", "n", percent) & alike("n", "sig", "n_a", "sig_a", percent) & (F.col("id") != F.col("a"))
-    a = members.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("sig").alias("sig_a"))
-    hubs = a.groupBy("key").agg(F.min(F.struct("at_a", "n_a", "a", "sig_a")).alias("h")).select("key", "h.*")
-    best = members.join(hubs, "key").where(near).groupBy("id").agg(F.min(F.struct(F.expr("at + at_a").alias("o"), "a")).alias("h"))
-    gone = later(best.select("h.a", F.col("id").alias("b")))
+    second = lambda m: m.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("sig").alias("sig_a"))
+
+    def best(m: DataFrame) -> DataFrame:
+        """id, o, a: the class with the most left of those that come first in one of its tokens."""
+        hubs = second(m).groupBy("key").agg(F.min(F.struct("at_a", "n_a", "a", "sig_a")).alias("h")).select("key", "h.*")
+        return m.join(hubs, "key").where(near).groupBy("id").agg(F.min(F.struct(F.expr("at + at_a").alias("o"), "a")).alias("h")).select("id", "h.*")
+
+    found = [stash(best(m), "best") for m in members]
+    pairs = union(found).groupBy("id").agg(F.min(F.struct("o", "a")).alias("h"))
+    gone = later(pairs.select("h.a", F.col("id").alias("b")))
     # Classes that are not gone yet meet all others; a pair of two such classes is tried once.
-    left = stash(members.join(gone, members["id"] == gone["b"], "left_anti"), "left")
-    open_ = left.select(F.col("id").alias("a")).distinct().withColumn("open", F.lit(True))
-    pairs = left.join(a, "key").where(near).select("a", F.col("id").alias("b")).distinct().join(open_, "a", "left").where("open IS NULL OR a < b").select("a", "b")
-    more = later(pairs)
+    tries = []
+    for m in members:
+        left = stash(m.join(gone, m["id"] == gone["b"], "left_anti"), "left")
+        tries.append(stash(left.join(second(m), "key").where(near).select("a", F.col("id").alias("b")).distinct(), "tries"))
+        discard(left)
+        discard(m)
+    closed = gone.select(F.col("b").alias("a")).withColumn("closed", F.lit(True))
+    pairs = union(tries).distinct().join(closed, "a", "left").where("closed OR a < b").select("a", "b")
+    more = later(pairs, last=True)
     out = stash(gone.union(more).distinct(), "matched")
-    for done in (members, gone, more, left):
+    for done in (*found, *tries, gone, more):
         discard(done)
     return out
 
@@ -130,7 +158,7 @@ def removed_lines(docs: DataFrame, percent: int) -> DataFrame:
     known = classes.join(late, classes["id"] == late["b"], "left").select("id", "first", F.col("b").isNotNull().alias("late"))
     gone = places.join(known, "id").where(F.col("late") | (F.col("first") < place))
     out = stash(gone.groupBy("row").agg(F.collect_set("line_no").alias("nos")), "removed")
-    for done in (lines, places, classes, late):
+    for done in (places, classes, late):
         discard(done)
     return out
 
