@@ -10,8 +10,9 @@ or not, add up to at most 1.
 Every partition trains from the same start on all its training documents, in batches with shared noise words;
 the models are averaged for each of a few rounds, weighted by tokens; a vector by the tokens that touched it.
 
-Scoring works in blocks of documents: each block's distinct words are joined with the counts, so no table of all words
-goes to one place. A batch's distinct contexts are normalised once by matrix products.
+Scoring reads each text where it lies: words of the model bring their counts with them, and only the words too rare for it
+are joined with the counts, by document, so texts are not shuffled and no table of all words goes to one place. A batch's
+distinct contexts are normalised once by matrix products.
 
 Null and empty texts have one token, the end. Repeated rows are scored alike. A null doc_id is in training. Other
 columns are ignored. Without training documents every word has count 0; an empty table gives none.
@@ -26,10 +27,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import batch_words, word_hashes
+from .blocks import hashed_words, pieces
 from .common import discard, fresh_path, small_batches, stash, table
 
 CLASSES, WIDTH, NOISE, ROUNDS, RATE = 510, 16, 64, 2, 0.05
@@ -37,10 +39,14 @@ CLASSES, WIDTH, NOISE, ROUNDS, RATE = 510, 16, 64, 2, 0.05
 MIN_COUNT = 5
 #: Step of context vectors and tree nodes, and what their squared gradients start at.
 STEP, DAMP = 0.1, 0.1
+#: Inner nodes next to the root whose scores are taken by one product with all of them.
+TOP = 255
+#: Rows with more parts than that are added up one by one.
+EACH = 16
 #: Vectors sent as one row when models are averaged.
 CHUNK = 1024
-#: Characters in a block of documents when scoring, on average.
-BLOCK_CHARS = 8_000_000
+#: Bytes of texts whose words are hashed and scored at once.
+PIECE = 1 << 20
 END = "\n"  # no word holds a line feed
 
 
@@ -48,25 +54,45 @@ def held_out(doc_id: Column, folds: int = 5, fold: int = 1) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def tokens_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """Offsets and words, with an end after each text."""
-    ends, found = batch_words(texts, lower=True)
-    n = len(ends) - 1
-    at = ends + np.arange(n + 1)
-    source = np.full(at[-1] if n else 0, len(found), dtype=np.int64)
-    inner = np.ones(len(source), dtype=bool)
+def hashed_tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """Offsets and hashes of the tokens, with an end after each text; which of them are words; (bytes, first, end) of the words."""
+    bounds, h, spans = hashed_words(texts, lower=True)
+    at = bounds + np.arange(len(bounds))
+    inner = np.ones(at[-1], dtype=bool)
     inner[at[1:] - 1] = False
-    source[inner] = np.arange(len(found))
-    return at, pa.concat_arrays([found, pa.array([END], found.type)]).take(pa.array(source))
+    out = np.full(at[-1], word_hashes(pa.array([END]))[0])
+    out[inner] = h
+    return at, out, inner, spans
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of single words as in running text; the end's is 0."""
+    bounds, h, _ = hashed_words(words, lower=True)
+    out = np.zeros(len(words), dtype=np.uint64)
+    out[np.diff(bounds) > 0] = h
+    return out
+
+
+def word_strings(spans: tuple[np.ndarray, np.ndarray, np.ndarray], which: np.ndarray) -> pa.Array:
+    """The words with these numbers, lower-cased."""
+    data, first, end = spans
+    n = end[which] - first[which]
+    at = np.concatenate([[0], np.cumsum(n)])
+    raw = data[np.arange(at[-1]) + np.repeat(first[which] - at[:-1], n)]
+    raw = raw + np.uint8(32) * ((raw >= 65) & (raw <= 90))
+    return pa.Array.from_buffers(pa.large_string(), len(n), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw.astype(np.uint8))]).cast(pa.string())
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c: of all documents given."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = pc.value_counts(tokens_of(b.column("text"))[1])
-            yield pa.RecordBatch.from_arrays([got.field("values").cast(pa.string()), got.field("counts")], names=["word", "c"])
+        for batch in batches:
+            for b in pieces(batch, size=PIECE):
+                _, h, spans = hashed_words(b.column("text"), lower=True)
+                _, at, n = np.unique(h, return_index=True, return_counts=True)
+                words = pa.concat_arrays([word_strings(spans, at), pa.array([END])])
+                yield pa.RecordBatch.from_arrays([words, pa.array(np.append(n, len(b)), pa.int64())], names=["word", "c"])
 
     return docs.select("text").mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -85,12 +111,19 @@ class Vocabulary:
         self.hashes = own[self.number]
         self.class_counts = np.append(self.counts[: self.classes], self.counts[self.classes :].sum())
         self.parent, self.side, self.odds = huffman(self.counts[self.classes :])
+        # Inner nodes are numbered by weight, the root last; how many steps of each leaf lie below the top ones.
+        self.top, leaves = max(0, len(self.odds) - TOP), len(self.odds) + 1
+        self.deep, at = np.zeros(leaves, dtype=np.int64), np.arange(leaves)
+        while (low := (self.parent[at] >= 0) & (self.parent[at] - leaves < self.top)).any():
+            at = np.where(low, self.parent[at], at)
+            self.deep += low
 
     def numbers(self, words: pa.Array) -> np.ndarray:
-        coded = pc.dictionary_encode(words)
-        h = word_hashes(coded.dictionary)
+        return self.numbers_of(word_hashes(words))
+
+    def numbers_of(self, h: np.ndarray) -> np.ndarray:
         slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[slot] == h, self.number[slot], self.rare)[coded.indices.to_numpy()]
+        return np.where(self.hashes[slot] == h, self.number[slot], self.rare)
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,33 +163,68 @@ def start_model(counts: np.ndarray, odds: np.ndarray | None = None, seed: int =
     return [x.astype(np.float32) for x in parts]
 
 
-def climb(v: Vocabulary, node: np.ndarray, q: np.ndarray, leaf: np.ndarray):
-    """For each step from leaves to the root: rows of q, inner nodes, their vectors, scores of side 1, the side taken."""
-    leaves = len(v.parent) // 2 + 1
-    rows, at = np.arange(len(leaf)), leaf
+def way(v: Vocabulary, leaf: np.ndarray):
+    """Steps from leaves to the root; ``leaf`` comes by falling v.deep.
+
+    Below the top nodes for each level how many rows (always the first ones) take it, the inner nodes and sides of all
+    levels; of the top nodes rows, columns and sides.
+    """
+    leaves, deep, at = len(v.parent) // 2 + 1, -v.deep[leaf], leaf.copy()
+    counts = [int(np.searchsorted(deep, -level)) for level in range(-deep[0] if len(deep) else 0)]
+    inner, sides = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
+    for k in counts:
+        up = v.parent[at[:k]]
+        inner.append(up - leaves)
+        sides.append(v.side[at[:k]])
+        at[:k] = up
+    rows, top = np.arange(len(leaf)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8))]
     while len(rows := rows[keep := v.parent[at] >= 0]):
         at = at[keep]
         up = v.parent[at]
-        vectors = node[up - leaves]
-        yield rows, up - leaves, vectors, np.einsum("ij,ij->i", q[rows], vectors[:, :-1]) + vectors[:, -1], v.side[at]
+        top.append((rows, up - leaves - v.top, v.side[at]))
         at = up
+    return counts, np.concatenate(inner), np.concatenate(sides), *(np.concatenate(x) for x in zip(*top, strict=True))
+
+
+class Groups:
+    """Equal numbers among many: the distinct ones, how many there are of each, and where each of the many is among them."""
+
+    def __init__(self, rows: np.ndarray):
+        self.order = np.argsort(rows)
+        ordered = rows[self.order]
+        self.first = np.flatnonzero(np.concatenate([np.ones(min(1, len(rows)), bool), ordered[1:] != ordered[:-1]]))
+        self.rows, self.n = ordered[self.first], np.diff(np.append(self.first, len(rows)))
+        self.which = np.empty(len(rows), dtype=np.int64)
+        self.which[self.order] = np.repeat(np.arange(len(self.rows)), self.n)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """The sum of x for each distinct number: the second of each is added, the third and so on; what has very many at once."""
+        out = x[self.order[self.first]]
+        at, j = np.flatnonzero(self.n > 1), 1
+        while len(at) and j < EACH:
+            out[at] += x[self.order[self.first[at] + j]]
+            j += 1
+            at = at[self.n[at] > j]
+        for i in at:
+            out[i] += x[self.order[self.first[i] + j : self.first[i] + self.n[i]]].sum(axis=0)
+        return out
+
+
+def step_rows(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: np.ndarray, old: np.ndarray, g: np.ndarray, n: np.ndarray, rate: float) -> None:
+    """A step from the old values of some rows, smaller the more they have moved, so that rare rows learn too."""
+    moved = squares[rows] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+    squares[rows] = moved
+    touched[rows] += n
+    table[rows] = old + g * (np.float32(rate) / np.sqrt(moved + np.float32(DAMP)))[:, None]
 
 
-def row_sums(rows: np.ndarray, x: np.ndarray, of: np.ndarray | None = None, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, the sum of x, or of times * x[of], for each, and how many there are."""
-    order = np.argsort(rows)
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    x = x[order] if of is None else x[of[order]] * times[order, None]
-    return rows[first], np.add.reduceat(x, first, axis=0), np.diff(np.append(first, len(rows)))
-
-
-def step_rows(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, sums: tuple, rate: float) -> None:
-    """A step on some rows, smaller the more they have moved, so that rare rows learn too."""
-    rows, g, n = sums
-    squares[rows] += (g * g).mean(axis=1)
-    touched[rows] += n
-    table[rows] += rate * g / np.sqrt(squares[rows] + DAMP)[:, None]
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.clip(x, -30, 30, out=x)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def contexts(classes: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,32 +240,51 @@ def contexts(classes: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray,
 def nce_batch(model: list[np.ndarray], moved: list[np.ndarray], v: Vocabulary, one, two, word, log_noise, noise, rate: float) -> None:
     """One step on a batch; the noise words are shared by its tokens. Unnormalised scores are taken as log-probabilities."""
     vec, pos, out, bias, node = model
-    a, b = vec[one], vec[two]
+    n, scale, pace = len(word), rate * 256 / len(word), STEP * rate / RATE
+    near = Groups(np.concatenate([one, two]))
+    vectors = vec[near.rows]
+    a, b = vectors[near.which[:n]], vectors[near.which[n:]]
     q = a * pos[0] + b * pos[1]
-    log_noise = log_noise + np.float32(np.log(len(noise)))
+    bar = bias - log_noise - np.float32(np.log(len(noise)))
     leaf, word = word - v.classes, np.minimum(word, v.classes)
-    odds = lambda s, w: 1 / (1 + np.exp(-np.clip(s - log_noise[w], -30, 30)))
-    up = 1 - odds((q * out[word]).sum(axis=1) + bias[word], word)
-    down = -odds(q @ out[noise].T + bias[noise], noise)
-    gq = up[:, None] * out[word] + down @ out[noise]
-    n, scale = len(word), rate * 256 / len(word)
-    g_out, g_bias = np.zeros_like(out), np.bincount(word, up, minlength=len(out))
-    rows, sums, _ = row_sums(word, q, np.arange(n), up)
-    g_out[rows] = sums
+    own = out[word]
+    up = 1 - sigmoid(np.einsum("ij,ij->i", q, own) + bar[word])
+    down = q @ out[noise].T
+    down += bar[noise]
+    down = np.negative(sigmoid(down), out=down)
+    own *= up[:, None]
+    gq = own + down @ out[noise]
+    cells = (word[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    g_out = np.bincount(cells, (up[:, None] * q).ravel(), minlength=out.size).astype(np.float32).reshape(out.shape)
+    g_bias = np.bincount(word, up, minlength=len(out))
     np.add.at(g_out, noise, down.T @ q)
     np.add.at(g_bias, noise, down.sum(axis=0))
     inside = np.flatnonzero(leaf >= 0)
-    steps = []
-    for r, inner, vectors, s, side in climb(v, node, q[inside], leaf[inside]):
-        r, g = inside[r], (side - 1 / (1 + np.exp(-np.clip(s, -30, 30)))).astype(np.float32)
-        gq[r] += g[:, None] * vectors[:, :-1]
-        steps.append((inner, r, g))
-    pace = STEP * rate / RATE
-    if steps:
-        inner, r, g = (np.concatenate(x) for x in zip(*steps, strict=True))
-        step_rows(node, moved[2], moved[3], row_sums(inner, np.column_stack([q, np.ones(n, np.float32)]), r, g), pace)
-    step_rows(vec, moved[0], moved[1], row_sums(np.concatenate([one, two]), np.concatenate([gq * pos[0], gq * pos[1]])), pace)
-    pos += rate * np.stack([(gq * a).sum(axis=0), (gq * b).sum(axis=0)]) / n
+    inside = inside[np.argsort(-v.deep[leaf[inside]], kind="stable")]
+    counts, inner, side, rows, columns, top_side = way(v, leaf[inside])
+    qi, g_in = np.column_stack([q[inside], np.ones(len(inside), np.float32)]), np.zeros((len(inside), WIDTH), np.float32)
+    if len(inner):
+        deep = Groups(inner)
+        old = node[deep.rows]
+        steps, at = old[deep.which], 0
+        for k in counts:
+            x = steps[at : at + k]
+            g = side[at : at + k] - sigmoid(np.einsum("ij,ij->i", qi[:k], x))
+            g_in[:k] += g[:, None] * x[:, :-1]
+            np.multiply(g[:, None], qi[:k], out=x)
+            at += k
+        step_rows(node, moved[2], moved[3], deep.rows, old, deep.sums(steps), deep.n, pace)
+    if len(rows):
+        old = node[v.top :]
+        every = np.zeros((len(qi), len(old)), np.float32)
+        every[rows, columns] = top_side - sigmoid((qi @ old.T)[rows, columns])
+        g_in += every @ old[:, :-1]
+        times = np.bincount(columns, minlength=len(old))
+        used = np.flatnonzero(times)
+        step_rows(node, moved[2], moved[3], used + v.top, old[used], (every.T @ qi)[used], times[used], pace)
+    gq[inside] += g_in
+    step_rows(vec, moved[0], moved[1], near.rows, vectors, near.sums(np.concatenate([gq * pos[0], gq * pos[1]])), near.n, pace)
+    pos += rate * np.stack([np.einsum("ij,ij->j", gq, a), np.einsum("ij,ij->j", gq, b)]) / n
     out += np.clip(scale * g_out, -0.5, 0.5)
     bias += np.clip(scale * g_bias, -0.5, 0.5)
 
@@ -237,8 +324,12 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, rate: float = RA
             moved = [np.zeros(len(own[k]), t) for k in (0, 4) for t in (np.float32, np.int64)]
             log_noise = np.log(noise_p).astype(np.float32)
             for b in batches:
-                at, words = tokens_of(b.column("text"))
-                numbers = v.numbers(words)
+                parts = [hashed_tokens(x.column("text"))[:2] for x in pieces(b, size=PIECE)]
+                if not parts:
+                    continue
+                numbers = v.numbers_of(np.concatenate([h for _, h in parts]))
+                starts = np.cumsum([0, *(len(h) for _, h in parts)])
+                at = np.concatenate([*(x[:-1] + i for (x, _), i in zip(parts, starts[:-1], strict=True)), starts[-1:]])
                 one, two = contexts(numbers, at, 0)
                 for i in range(0, len(numbers), 4096):
                     s = slice(i, i + 4096)
@@ -282,11 +373,13 @@ def log_probabilities(model: list[np.ndarray], one: np.ndarray, two: np.ndarray,
     q = lambda a, b: vec[a] * pos[0] + vec[b] * pos[1]
     pair, which = np.unique(one * len(vec) + two, return_inverse=True)
     z = np.empty(len(pair))
-    for i in range(0, len(pair), 8192):
-        p = pair[i : i + 8192]
-        s = q(p // len(vec), p % len(vec)) @ out.T + bias
+    for i in range(0, len(pair), 512):  # so that a block stays in the processor's cache
+        p = pair[i : i + 512]
+        s = q(p // len(vec), p % len(vec)) @ out.T
+        s += bias
         top = s.max(axis=1)
-        z[i : i + 8192] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        s -= top[:, None]
+        z[i : i + 512] = top + np.log(np.exp(s, out=s).sum(axis=1))
     score = np.empty(len(word))
     for i in range(0, len(word), 65536):
         s = slice(i, i + 65536)
@@ -298,10 +391,19 @@ def tree_log_probabilities(model: list[np.ndarray], v: Vocabulary, one: np.ndarr
     """Natural log-probabilities of leaves within the shared class."""
     vec, pos, node = model[0], model[1], model[4]
     p = np.zeros(len(leaf))
-    for i in range(0, len(leaf), 65536):
-        w = slice(i, i + 65536)
-        for r, _, _, s, side in climb(v, node, vec[one[w]] * pos[0] + vec[two[w]] * pos[1], leaf[w]):
-            p[i + r] -= np.logaddexp(0, np.where(side == 1, -s, s))
+    for i in range(0, len(leaf), 4096):
+        own = i + np.argsort(-v.deep[leaf[i : i + 4096]], kind="stable")
+        q = np.column_stack([vec[one[own]] * pos[0] + vec[two[own]] * pos[1], np.ones(len(own), np.float32)])
+        counts, inner, side, rows, columns, top_side = way(v, leaf[own])
+        deep, at = Groups(inner), 0
+        old = node[deep.rows]
+        for k in counts:
+            s = np.einsum("ij,ij->i", q[:k], old[deep.which[at : at + k]])
+            p[own[:k]] -= np.logaddexp(0, np.where(side[at : at + k] == 1, -s, s))
+            at += k
+        if len(rows):
+            s = (q @ node[v.top :].T)[rows, columns]
+            p[own] -= np.bincount(rows, np.logaddexp(0, np.where(top_side == 1, -s, s)), minlength=len(own))
     return p
 
 
@@ -324,45 +426,51 @@ def score(docs: DataFrame) -> DataFrame:
     v = Vocabulary(got.column("h").to_numpy().astype(np.int64).view(np.uint64), got.column("c").to_numpy(), ends, total)
     path, rare, rare_count = put(spark, (v, train(training, v))), v.rare, v.counts[-1]
 
-    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = chars // BLOCK_CHARS + 1
-    block = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("long")
-    dealt = stash(rows.withColumn("block", block).repartition(max(1, blocks), "block"), "blocks")
-
-    def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of = b.column("block").to_numpy()
-            for k in np.unique(of):
-                found = tokens_of(b.column("text").filter(pa.array(of == k)))[1].unique().cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k)), found], names=["block", "word"])
-
-    words = dealt.select("block", "text").mapInArrow(vocabulary, "block long, word string").distinct()
-    known = words.join(counts, "word")
+    share = lambda c, n, kinds: (c + 0.5) / (n + 0.5 * (kinds + 1))
     n_rare = max(0, distinct - rare)
+    names_ = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "row", "word", "times"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64()]
 
-    def mark(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        values, found = right.column("word").combine_chunks(), np.append(right.column("c").to_numpy(), 0)
-        out: list[tuple] = []
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A row for each document, without what words too rare for the model add, and a row for each of these and document."""
         v, model = get(path)
-        for b in left.to_batches(max_chunksize=64):
-            at, words = tokens_of(b.column("text"))
-            words = words.cast(pa.string())
-            c = found[pc.fill_null(pc.index_in(words, value_set=values), len(found) - 1).to_numpy()]
-            numbers = v.numbers(words)
-            one, two = contexts(numbers, at, 0)
-            base = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-            p = log_probabilities(model, one, two, np.minimum(numbers, v.classes)).astype(float)
-            inside = np.flatnonzero(numbers >= v.classes)
-            p[inside] += tree_log_probabilities(model, v, one[inside], two[inside], numbers[inside] - v.classes)
-            p /= np.log(10)
-            p += np.where(numbers == rare, np.log10((c + 0.5) / (rare_count + 0.5 * (n_rare + 1))), 0)
-            for i, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)):
-                out.append((b.column("doc_id")[i].as_py(), b.column("held_out")[i].as_py(), int(y - x), int((c[x:y] > 0).sum()), int(total), float(base[x:y].sum()), float(p[x:y].sum())))
-        names_ = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-        return pa.table([pa.array(col) for col in zip(*out, strict=True)], names=names_) if out else pa.table({n: pa.array([], t) for n, t in zip(names_, (pa.int64(), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 2), strict=True)})
-
-    spec = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(mark, spec)
+        known = np.append(v.counts[: v.rare] > 0, False)
+        base = np.append(np.log10(share(v.counts[: v.rare], total, distinct)), 0)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for b in pieces(batch, size=PIECE):
+                at, h, inner, spans = hashed_tokens(b.column("text"))
+                numbers = v.numbers_of(h)
+                one, two = contexts(numbers, at, 0)
+                p = log_probabilities(model, one, two, np.minimum(numbers, v.classes)).astype(float)
+                inside = np.flatnonzero(numbers >= v.classes)
+                p[inside] += tree_log_probabilities(model, v, one[inside], two[inside], numbers[inside] - v.classes)
+                sums = [np.add.reduceat(x, at[:-1]) for x in (known[numbers].astype(np.int64), base[numbers], p / np.log(10))]
+                ids = row + np.arange(len(b))
+                cols = [b.column("doc_id"), b.column("held_out"), np.diff(at), *sums, ids]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types[:7], strict=True)), *(pa.nulls(len(b), t) for t in types[7:])], names=names_)
+                few = np.flatnonzero((numbers == v.rare) & inner)
+                words = pc.dictionary_encode(word_strings(spans, (np.cumsum(inner) - 1)[few]))
+                code, times = np.unique(np.repeat(np.arange(len(b)), np.diff(at))[few] * (len(words.dictionary) + 1) + words.indices.to_numpy(), return_counts=True)
+                which, code = np.divmod(code, len(words.dictionary) + 1)
+                cols = [ids[which], words.dictionary.take(pa.array(code)), times]
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(times), t) for t in types[:6]), *(pa.array(c, t) for c, t in zip(cols, types[6:], strict=True))], names=names_)
+                row += len(b)
+
+    spec = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, row long, word string, times long"
+    # Numbered and written once, so that both kinds of rows agree.
+    judged = stash(rows.mapInArrow(judge, spec), "judged")
+    remove(path)
+    c, times = F.coalesce("c", F.lit(0)), F.col("times")
+    few = judged.where("word IS NOT NULL").select("row", "word", "times").join(counts.where(F.col("c") < MIN_COUNT), "word", "left")
+    add = few.groupBy("row").agg(
+        F.sum(F.when(c > 0, times).otherwise(0)).alias("known"),
+        F.sum(times * F.log10(share(c, total, distinct))).alias("base"),
+        F.sum(times * F.log10(share(c, float(rare_count), n_rare))).alias("p"),
+    )
+    plus = lambda a, b: (F.col(a) + F.coalesce(b, F.lit(0))).alias(a)
+    out = judged.where("word IS NULL").drop("word", "times").join(add, "row", "left")
+    return out.select("doc_id", "held_out", "n_tokens", plus("n_known", "known"), F.lit(int(total)).cast("long").alias("train_tokens"), plus("base_score", "base"), plus("score", "p"))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

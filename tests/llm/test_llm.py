@@ -246,6 +246,29 @@ def test_language_model_learns_the_order_of_rare_words(spark):
     assert sum(s for _, s in right) > sum(s for _, s in wrong) + 1
 
 
+def test_language_model_does_not_move_texts(spark, monkeypatch):
+    seen = []
+    stash = language_model.stash
+    monkeypatch.setattr(language_model, "stash", lambda df, what: seen.append(df.columns) or stash(df, what))
+    rows = [(i, f"one two three rare{i} rare{i}") for i in range(40)] + [(40, None), (41, "")]
+    got = {r.doc_id: r for r in language_model.score(docs(spark, rows)).collect()}
+    assert seen and not any("text" in columns for columns in seen)
+    held = {i for i in range(42) if zlib.crc32(str(i).encode()) % 5 == 1}
+    assert [got[i].n_known for i in range(40)] == [4 if i in held else 6 for i in range(40)]
+    assert got[40].n_tokens == got[41].n_tokens == 1
+
+
+def test_language_model_sums_many_and_few_parts():
+    import numpy as np
+
+    rows = np.concatenate([np.full(100, 7), np.arange(40), np.full(17, 3), [9]])
+    x = np.random.default_rng(2).normal(size=(len(rows), 4)).astype(np.float32)
+    groups, want = language_model.Groups(rows), np.zeros((40, 4))
+    np.add.at(want, rows, x)
+    assert groups.rows.tolist() == list(range(40)) and groups.n.tolist() == np.bincount(rows).tolist()
+    assert np.abs(groups.sums(x) - want).max() < 1e-4 and (groups.rows[groups.which] == rows).all()
+
+
 def test_lines(spark):
     rows = [(0, None), (1, ""), (2, "a b c d e f g h i j\n\nx"), (3, "A b c d e f g h i j\nx y\n\nz"), (4, "a b c d e f g h i k"), (5, "a b c d e f g h q r"), (6, "x\nx")]
     rows += [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
