@@ -5,8 +5,9 @@ least ``percent`` / 100. Equal token sets are one class with its first place (do
 rarity, taken from counts of a fixed number of cells over all lines; equal cells are ordered by hash, so that all
 lines have one order. Classes that share a token of their prefixes, pass the length and the positional filter and whose signatures differ in few
 enough bits are verified. First each class meets, of those that come first in one of its prefix tokens, the one with the most left; the later of two
-that match is removed. What is left meets all classes that share a prefix token. A line is removed when any line that matches it
-stands before it, removed or not, so the order of these two steps does not matter.
+that match is removed. What is left meets the earliest class of each of its prefix tokens, so that large groups of near copies meet in
+stars, and what is left then all classes that share a prefix token and do not come later. A line is removed when any line that matches it
+stands before it, removed or not, so the order of these steps does not matter.
 
 Blank lines have no tokens, match nothing and stay. Null texts have no lines and stay null. Null ids come before all others. Ties
 in doc_id are ordered by the text's hash, and whole repeated rows are numbered, so that the first of them keeps its lines. Other
@@ -92,14 +93,14 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
     order = F.sort_array(F.transform("s", lambda x: F.shiftleft(F.get(cells, F.pmod(x, F.lit(CELLS)).cast("int")), BITS) + x.bitwiseAND(F.lit((1 << BITS) - 1))))
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     # The signature in a step before, else it is made again for each entry.
-    entries = stash(lines.withColumn("sig", signature()).select("id", "n", "sig", F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
+    entries = stash(lines.withColumn("sig", signature()).select("id", "n", "sig", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("early"), F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
     # By parts of the keys, so that shuffles hold one part at a time.
     members = []
     for part in range(PARTS):
         own = entries.where(F.pmod("key", F.lit(PARTS)) == part)
         # Written first, so that a small table of them spares the entries a shuffle.
         common = stash(own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "common")
-        members.append(stash(own.join(common, "key").distinct(), "members"))
+        members.append(stash(own.join(common, "key").groupBy("key", "id", "n", "sig", "at").agg(F.min("early").alias("early")), "members"))
         discard(common)
     discard(entries)
     place = lambda k: classes.select(F.col("id").alias(k), F.col("first").alias(f"first_{k}"))
@@ -121,28 +122,36 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
         return out
 
     near = meets("n", "at", "n_a", percent) & meets("n_a", "at_a", "n", percent) & alike("n", "sig", "n_a", "sig_a", percent) & (F.col("id") != F.col("a"))
-    second = lambda m: m.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("sig").alias("sig_a"))
+    second = lambda m: m.select("key", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("at").alias("at_a"), F.col("sig").alias("sig_a"), F.col("early").alias("early_a"))
 
     def best(m: DataFrame) -> DataFrame:
         """id, o, a: the class with the most left of those that come first in one of its tokens."""
-        hubs = second(m).groupBy("key").agg(F.min(F.struct("at_a", "n_a", "a", "sig_a")).alias("h")).select("key", "h.*")
+        hubs = second(m).groupBy("key").agg(F.min(F.struct("at_a", "n_a", "early_a", "a", "sig_a")).alias("h")).select("key", "h.*")
         return m.join(hubs, "key").where(near).groupBy("id").agg(F.min(F.struct(F.expr("at + at_a").alias("o"), "a")).alias("h")).select("id", "h.*")
 
     found = [stash(best(m), "best") for m in members]
     pairs = union(found).groupBy("id").agg(F.min(F.struct("o", "a")).alias("h"))
     gone = later(pairs.select("h.a", F.col("id").alias("b")))
-    # Classes that are not gone yet meet all others; a pair of two such classes is tried once.
-    tries = []
+    # Classes that are not gone yet meet the earliest one of each of their tokens. By doc_id only, which later() makes exact.
+    not_after = F.col("early_a") <= F.col("early")
+    left, tries = [], []
     for m in members:
-        left = stash(m.join(gone, m["id"] == gone["b"], "left_anti"), "left")
-        tries.append(stash(left.join(second(m), "key").where(near).select("a", F.col("id").alias("b")).distinct(), "tries"))
-        discard(left)
+        hubs = second(m).groupBy("key").agg(F.min(F.struct("early_a", "n_a", "at_a", "a", "sig_a")).alias("h")).select("key", "h.*")
+        left.append(stash(m.join(gone, m["id"] == gone["b"], "left_anti"), "left"))
+        tries.append(stash(left[-1].join(hubs, "key").where(near & not_after).select("a", F.col("id").alias("b")).distinct(), "tries"))
+    early = later(union(tries).distinct())
+    for done in tries:
+        discard(done)
+    # What stays meets all others that do not come later; a pair of one doc_id is tried once.
+    tries = []
+    for m, open_ in zip(members, left, strict=True):
+        rest = open_.join(early, open_["id"] == early["b"], "left_anti")
+        tries.append(stash(rest.join(second(m), "key").where(near & not_after).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "tries"))
+        discard(open_)
         discard(m)
-    closed = gone.select(F.col("b").alias("a")).withColumn("closed", F.lit(True))
-    pairs = union(tries).distinct().join(closed, "a", "left").where("closed OR a < b").select("a", "b")
-    more = later(pairs, last=True)
-    out = stash(gone.union(more).distinct(), "matched")
-    for done in (*found, *tries, gone, more):
+    more = later(union(tries).distinct(), last=True)
+    out = stash(gone.union(early).union(more).distinct(), "matched")
+    for done in (*found, *tries, gone, early, more):
         discard(done)
     return out
 

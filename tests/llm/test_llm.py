@@ -301,6 +301,17 @@ def test_lines_compares_only_pairs_with_like_signatures(spark, monkeypatch):
     assert 1 <= sum(tried) <= 3
 
 
+def test_lines_compares_near_copies_in_stars(spark, monkeypatch):
+    made, verified = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, *rest: made.append(verified(pairs, *rest).count()) or verified(pairs, *rest))
+    # All match each other; the first ones are longer, so that the class with the most left is not the earliest.
+    common = " ".join(f"c{k}" for k in range(24))
+    rows = [(i, f"{common} u{i}" + f" v{i}" * (i < 30)) for i in range(60)]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs(spark, rows), 80).collect()}
+    assert got == {i: int(i > 0) for i in range(60)}
+    assert 59 <= sum(made) <= 2 * 60
+
+
 def test_near_duplicate_stage_keeps_null_and_repeated_ids(spark):
     import corpus_pipeline
 
