@@ -7,8 +7,9 @@ is one: noise-contrastive estimation trains the classes. Below the shared class
 leads down to each word; its nodes are two-way log-bilinear models. One leaf holds the words too rare for the model, and
 within it a word has its smoothed share of the counts. Each step is normalised, so the probabilities of all words, known
 or not, add up to at most 1.
-Every partition trains from the same start on all its training documents, in batches with shared noise words;
-the models are averaged for each of a few rounds, weighted by tokens; a vector by the tokens that touched it.
+Every task trains from the same start on all training documents of its partitions, in batches with shared noise words;
+the models are averaged for each of a few rounds, weighted by tokens; a vector by the tokens that touched it. As each task
+sends up to a whole model, partitions are joined into tasks with text in proportion to the model.
 
 Scoring reads each text where it lies: words of the model bring their counts with them, and only the words too rare for it
 are joined with the counts, by document, so texts are not shuffled and no table of all words goes to one place. A batch's
@@ -45,6 +46,8 @@ TOP = 255
 EACH = 16
 #: Vectors sent as one row when models are averaged.
 CHUNK = 1024
+#: Training tokens of a task for each word of the model, or more: what tasks send then stays in proportion to the text, however large the model is.
+TOKENS_A_WORD = 12
 #: Bytes of texts whose words are hashed and scored at once.
 PIECE = 1 << 20
 END = "\n"  # no word holds a line feed
@@ -310,6 +313,11 @@ def remove(path: str) -> None:
     store.delete_file(at)
 
 
+def training_tasks(v: Vocabulary) -> int:
+    """How many tasks train at most."""
+    return max(1, int(v.counts.sum()) // (TOKENS_A_WORD * (v.rare + 1)))
+
+
 def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, rate: float = RATE) -> list[np.ndarray]:
     """The averaged model, trained on all documents given."""
     model = start_model(v.class_counts, v.odds)
@@ -357,7 +365,7 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, rate: float = RA
             return pa.table({"part": [part], "rows": [(rows + chunk * CHUNK).astype(np.int32).tobytes()], "x": [(total[rows] / weight[rows, None]).astype(np.float32).tobytes()]})
 
         # As many vectors as the model has.
-        models = docs.select("text").mapInArrow(fit, "part long, chunk long, rows binary, n binary, x binary")
+        models = docs.select("text").coalesce(training_tasks(v)).mapInArrow(fit, "part long, chunk long, rows binary, n binary, x binary")
         means = stash(models.groupBy("part", "chunk").applyInArrow(mean, "part long, rows binary, x binary"), "model")
         for got in means.toLocalIterator():
             rows = np.frombuffer(got.rows, np.int32)

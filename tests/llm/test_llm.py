@@ -258,6 +258,13 @@ def test_language_model_does_not_move_texts(spark, monkeypatch):
     assert got[40].n_tokens == got[41].n_tokens == 1
 
 
+def test_language_model_trains_small_texts_in_one_task(spark):
+    # Each word of the model stands in the text six times only, so it is not worth a model for each partition.
+    rows = [(i, " ".join(f"w{(i * 30 + k) % 400}" for k in range(30))) for i in range(100)]
+    got = [{r.doc_id: r.score for r in language_model.score(docs(spark, rows).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")).collect()} for n in (1, 4)]
+    assert got[0] == pytest.approx(got[1], rel=1e-5)
+
+
 def test_language_model_sums_many_and_few_parts():
     import numpy as np
 
