@@ -33,10 +33,10 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/loomwright-{what}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, what: str) -> DataFrame:
+def stash(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage and outlives executors.
 
-    Shuffle files behind the written table are of no more use and go at once.
+    Shuffle files behind the written table are of no more use and go at once. Options are those of the writer.
     """
     spark = df.sparkSession
     path = fresh_path(spark, what)
@@ -44,7 +44,7 @@ def stash(df: DataFrame, what: str) -> DataFrame:
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)

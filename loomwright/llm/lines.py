@@ -27,6 +27,8 @@ from .common import LOWER, UPPER, discard, stash, table
 CELLS, BITS = 1 << 18, 44
 #: Parts of the keys, and of the classes, that are joined one after the other.
 PARTS = 4
+#: Token hashes repeat often, but the writer's own dictionary of 1 MB is too small for a task's distinct ones.
+WORDBOOK = {"parquet.dictionary.page.size": str(16 << 20)}
 
 
 def clean(line: Column) -> Column:
@@ -93,14 +95,14 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
     order = F.sort_array(F.transform("s", lambda x: F.shiftleft(F.get(cells, F.pmod(x, F.lit(CELLS)).cast("int")), BITS) + x.bitwiseAND(F.lit((1 << BITS) - 1))))
     length = F.col("n") - F.ceil(percent * F.col("n") / 100) + 1
     # The signature in a step before, else it is made again for each entry.
-    entries = stash(lines.withColumn("sig", signature()).select("id", "n", "sig", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("early"), F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries")
+    entries = stash(lines.withColumn("sig", signature()).select("id", "n", "sig", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("early"), F.posexplode(F.slice(order, F.lit(1), length.cast("int"))).alias("at", "key")), "entries", **WORDBOOK)
     # By parts of the keys, so that shuffles hold one part at a time.
     members = []
     for part in range(PARTS):
         own = entries.where(F.pmod("key", F.lit(PARTS)) == part)
         # Written first, so that a small table of them spares the entries a shuffle.
         common = stash(own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key"), "common")
-        members.append(stash(own.join(common, "key").groupBy("key", "id", "n", "sig", "at").agg(F.min("early").alias("early")), "members"))
+        members.append(stash(own.join(common, "key").groupBy("key", "id", "n", "sig", "at").agg(F.min("early").alias("early")), "members", **WORDBOOK))
         discard(common)
     discard(entries)
     place = lambda k: classes.select(F.col("id").alias(k), F.col("first").alias(f"first_{k}"))
@@ -134,20 +136,20 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
     gone = later(pairs.select("h.a", F.col("id").alias("b")))
     # Classes that are not gone yet meet the earliest one of each of their tokens. By doc_id only, which later() makes exact.
     not_after = F.col("early_a") <= F.col("early")
-    left, tries = [], []
+    tries = []
     for m in members:
         hubs = second(m).groupBy("key").agg(F.min(F.struct("early_a", "n_a", "at_a", "a", "sig_a")).alias("h")).select("key", "h.*")
-        left.append(stash(m.join(gone, m["id"] == gone["b"], "left_anti"), "left"))
-        tries.append(stash(left[-1].join(hubs, "key").where(near & not_after).select("a", F.col("id").alias("b")).distinct(), "tries"))
+        open_ = m.join(gone, m["id"] == gone["b"], "left_anti")
+        tries.append(stash(open_.join(hubs, "key").where(near & not_after).select("a", F.col("id").alias("b")).distinct(), "tries"))
     early = later(union(tries).distinct())
     for done in tries:
         discard(done)
     # What stays meets all others that do not come later; a pair of one doc_id is tried once.
+    done_with = gone.union(early)
     tries = []
-    for m, open_ in zip(members, left, strict=True):
-        rest = open_.join(early, open_["id"] == early["b"], "left_anti")
+    for m in members:
+        rest = m.join(done_with, m["id"] == done_with["b"], "left_anti")
         tries.append(stash(rest.join(second(m), "key").where(near & not_after).select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct(), "tries"))
-        discard(open_)
         discard(m)
     more = later(union(tries).distinct(), last=True)
     out = stash(gone.union(early).union(more).distinct(), "matched")
@@ -158,7 +160,7 @@ def earlier_matches(lines: DataFrame, classes: DataFrame, percent: int) -> DataF
 
 def removed_lines(docs: DataFrame, percent: int) -> DataFrame:
     """row, nos: the numbers of the lines to remove, in the first of equal rows."""
-    lines = stash(split_lines(docs), "lines")
+    lines = stash(split_lines(docs), "lines", **WORDBOOK)
     # Null ids first, then by id, text and line.
     place = F.struct(F.col("doc_id").isNotNull(), F.coalesce("doc_id", F.lit(0)), F.col("row"), F.col("line_no"))
     classes = stash(lines.groupBy("id").agg(F.min(place).alias("first")), "classes")

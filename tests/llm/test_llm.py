@@ -319,6 +319,28 @@ def test_lines_compares_near_copies_in_stars(spark, monkeypatch):
     assert 59 <= sum(made) <= 2 * 60
 
 
+def test_lines_writes_hashes_once_and_short(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    written, stash = [], lines.stash
+
+    def spy(df, what, **options):
+        out = stash(df, what, **options)
+        files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in out.inputFiles()]
+        written.append((what, out.columns, sum(f.row_group(i).column(j).total_compressed_size for f in files for i in range(f.num_row_groups) for j in range(f.num_columns) if f.row_group(i).column(j).path_in_schema.startswith("s."))))
+        return out
+
+    monkeypatch.setattr(lines, "stash", spy)
+    # More distinct words in a task than the writer's own dictionary holds, each three times.
+    rows = [(i, " ".join(f"w{(i // 3 * 40 + k) * 7 % 160000}" for k in range(40))) for i in range(12000)]
+    got = lines.dedup_lines(docs(spark, rows).coalesce(1)).agg(F.count("*"), F.sum("n_removed")).first()
+    assert tuple(got) == (12000, 8000)
+    size = {what: n for what, _, n in written}["lines"]
+    assert size < 12000 * 40 * 6
+    # Entries and members only have the prefixes' tokens; there is no second copy of the members.
+    assert {what for what, columns, _ in written if "key" in columns} == {"entries", "common", "members"}
+
+
 def test_near_duplicate_stage_keeps_null_and_repeated_ids(spark):
     import corpus_pipeline
 
