@@ -172,8 +172,12 @@ def first_of_equal(members: DataFrame) -> DataFrame:
     return rows.groupBy("rows", "x", "y").agg(F.min(F.struct("p", "key")).alias("first")).select("first.key")
 
 
-def rows_as_sets(rows: DataFrame, pairs: DataFrame, reps: DataFrame, n: int) -> DataFrame:
-    """node, s (sorted n-grams) of the rows in pairs. A mask of fixed size spares most other texts; it only passes more where it is full."""
+def rows_as_sets(rows: DataFrame, pairs: DataFrame, reps: DataFrame, n: int) -> tuple[DataFrame, str, DataFrame]:
+    """node, s (sorted n-grams) of the rows in pairs, dealt by node; besides, the object and the table to delete after its use.
+
+    A mask of fixed size spares most other texts; it only passes more where it is full. The sets are not written: both sides
+    of the product read the one shuffle that gathers them.
+    """
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stash(nodes.join(reps, "node").select("node", "rep"), "wanted")
     bit = F.pmod(F.xxhash64("rep"), F.lit(MASK_BITS))
@@ -192,10 +196,7 @@ def rows_as_sets(rows: DataFrame, pairs: DataFrame, reps: DataFrame, n: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(number), pa.array([grams[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["node", "s"])
 
     sets = rows.select("text", F.pmod(F.xxhash64("doc_id"), F.lit(MASK_BITS)).alias("bit")).mapInArrow(as_sets, "node long, s binary")
-    out = stash(sets.join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "rows")
-    remove_object(path)
-    discard(wanted)
-    return out
+    return sets.join(wanted.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"]), path, wanted
 
 
 def multiply(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -242,9 +243,10 @@ def join_classes(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     def product(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that meet the bound; only rows in a pair are read as sets."""
         pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-        sets = rows_as_sets(rows, pairs, reps, n)
+        sets, path, wanted = rows_as_sets(rows, pairs, reps, n)
         out = stash(multiply(pairs, sets, percent), "links")
-        for done in (pairs, sets):
+        remove_object(path)
+        for done in (pairs, wanted):
             discard(done)
         return out
 

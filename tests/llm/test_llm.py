@@ -49,6 +49,15 @@ def test_jaccard_reads_sets_of_rows_in_a_pair_only(spark, monkeypatch):
     assert got == {0: 0, 1: 0, 2: 0} and 0 < max(sets) <= 3
 
 
+def test_jaccard_does_not_write_sets(spark, monkeypatch):
+    written, stash = [], jaccard.stash
+    monkeypatch.setattr(jaccard, "stash", lambda df, what: written.append((what, df.dtypes)) or stash(df, what))
+    rows = near()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_classes(docs(spark, rows), 3, 90).collect()}
+    assert got == brute.jaccard(rows, 3, 90)
+    assert {what for what, types in written if "binary" in dict(types).values()} == {"sets", "sketch"}  # the sketch's counts
+
+
 def test_quality(spark):
     got = {r.doc_id: r for r in quality.apply_rules(docs(spark)).collect()}
     assert got[0].n_words == got[1].n_words == got[2].n_words == 0 and got[0].base_failed and not got[0].kept
