@@ -328,6 +328,20 @@ def test_lines_compares_near_copies_in_stars(spark, monkeypatch):
     assert 59 <= sum(made) <= 2 * 60
 
 
+def test_lines_tells_long_lines_apart_by_signatures(spark, monkeypatch):
+    import random
+
+    tried, verified = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, *rest: tried.append(pairs.count()) or verified(pairs, *rest))
+    # Long lines of common words share tokens of their prefixes; 64 bits of parities do not tell them apart.
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.sample([f"w{k}" for k in range(500)], 180))) for i in range(60)]
+    rows.append((60, rows[7][1].replace(" w", " x", 10)))
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(docs(spark, rows), 80).collect()}
+    assert got == {i: int(i == 60) for i in range(61)}
+    assert 1 <= sum(tried) <= 8
+
+
 def test_lines_writes_hashes_once_and_short(spark, monkeypatch):
     import pyarrow.parquet as pq
 
