@@ -112,6 +112,9 @@ class Vocabulary:
         own = np.concatenate([[end], hashes[order]])
         self.number = np.argsort(own)
         self.hashes = own[self.number]
+        # Where the hashes with the same first bits begin; these are as many as words or fewer.
+        self.shift = np.uint64(64 - min(24, max(1, len(own).bit_length())))
+        self.begin = np.searchsorted(self.hashes, np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift).astype(np.int32)
         self.class_counts = np.append(self.counts[: self.classes], self.counts[self.classes :].sum())
         self.parent, self.side, self.odds = huffman(self.counts[self.classes :])
         # Inner nodes are numbered by weight, the root last; how many steps of each leaf lie below the top ones.
@@ -125,8 +128,16 @@ class Vocabulary:
         return self.numbers_of(word_hashes(words))
 
     def numbers_of(self, h: np.ndarray) -> np.ndarray:
-        slot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[slot] == h, self.number[slot], self.rare)
+        slot, last = self.begin.take((h >> self.shift).astype(np.int64)), len(self.hashes) - 1
+        slot = np.minimum(slot, last)
+        found = self.hashes.take(slot)
+        at = np.flatnonzero(found < h)
+        while len(at):  # few hashes share their first bits
+            ahead = np.minimum(slot[at] + 1, last)
+            there = self.hashes.take(ahead)
+            slot[at], found[at] = ahead, there
+            at = at[(there < h[at]) & (ahead < last)]
+        return np.where(found == h, self.number.take(slot), self.rare)
 
 
 def huffman(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,16 +187,18 @@ def way(v: Vocabulary, leaf: np.ndarray):
     counts = [int(np.searchsorted(deep, -level)) for level in range(-deep[0] if len(deep) else 0)]
     inner, sides = [np.zeros(0, np.int64)], [np.zeros(0, np.int8)]
     for k in counts:
-        up = v.parent[at[:k]]
+        up = v.parent.take(at[:k])
         inner.append(up - leaves)
-        sides.append(v.side[at[:k]])
+        sides.append(v.side.take(at[:k]))
         at[:k] = up
     rows, top = np.arange(len(leaf)), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8))]
-    while len(rows := rows[keep := v.parent[at] >= 0]):
-        at = at[keep]
-        up = v.parent[at]
-        top.append((rows, up - leaves - v.top, v.side[at]))
+    up = v.parent.take(at)
+    while len(keep := np.flatnonzero(up >= 0)):
+        if len(keep) < len(rows):
+            rows, at, up = rows[keep], at[keep], up[keep]
+        top.append((rows, up - leaves - v.top, v.side.take(at)))
         at = up
+        up = v.parent.take(at)
     return counts, np.concatenate(inner), np.concatenate(sides), *(np.concatenate(x) for x in zip(*top, strict=True))
 
 
@@ -193,32 +206,40 @@ class Groups:
     """Equal numbers among many: the distinct ones, how many there are of each, and where each of the many is among them."""
 
     def __init__(self, rows: np.ndarray):
-        self.order = np.argsort(rows)
-        ordered = rows[self.order]
+        # Sorted together with their places, which is faster than finding an order of the numbers alone.
+        key = np.sort((rows.astype(np.int64) << 31) | np.arange(len(rows)))
+        self.order, ordered = key & ((1 << 31) - 1), key >> 31
         self.first = np.flatnonzero(np.concatenate([np.ones(min(1, len(rows)), bool), ordered[1:] != ordered[:-1]]))
-        self.rows, self.n = ordered[self.first], np.diff(np.append(self.first, len(rows)))
+        self.rows, self.n = ordered.take(self.first), np.diff(np.append(self.first, len(rows)))
         self.which = np.empty(len(rows), dtype=np.int64)
         self.which[self.order] = np.repeat(np.arange(len(self.rows)), self.n)
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """The sum of x for each distinct number: the second of each is added, the third and so on; what has very many at once."""
-        out = x[self.order[self.first]]
-        at, j = np.flatnonzero(self.n > 1), 1
-        while len(at) and j < EACH:
-            out[at] += x[self.order[self.first[at] + j]]
-            j += 1
-            at = at[self.n[at] > j]
-        for i in at:
-            out[i] += x[self.order[self.first[i] + j : self.first[i] + self.n[i]]].sum(axis=0)
-        return out
+        # The most frequent first, so that those with a further part are always the first ones.
+        by = np.sort((-self.n << 31) | np.arange(len(self.n))) & ((1 << 31) - 1)
+        first, n = self.first.take(by), self.n.take(by)
+        out = x.take(self.order.take(first), axis=0)
+        more = np.searchsorted(-n, -np.arange(1, EACH + 1))
+        for j, k in enumerate(more[:-1].tolist(), 1):
+            if not k:
+                break
+            out[:k] += x.take(self.order.take(first[:k] + j), axis=0)
+        for i in range(more[-1]):
+            out[i] += x.take(self.order[first[i] + EACH : first[i] + n[i]], axis=0).sum(axis=0)
+        place = np.empty(len(n), dtype=np.int64)
+        place[by] = np.arange(len(n))
+        return out.take(place, axis=0)
 
 
 def step_rows(table: np.ndarray, squares: np.ndarray, touched: np.ndarray, rows: np.ndarray, old: np.ndarray, g: np.ndarray, n: np.ndarray, rate: float) -> None:
-    """A step from the old values of some rows, smaller the more they have moved, so that rare rows learn too."""
-    moved = squares[rows] + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
+    """A step from the old values of some rows, smaller the more they have moved, so that rare rows learn too. Writes over g."""
+    moved = squares.take(rows) + np.einsum("ij,ij->i", g, g) / np.float32(g.shape[1])
     squares[rows] = moved
     touched[rows] += n
-    table[rows] = old + g * (np.float32(rate) / np.sqrt(moved + np.float32(DAMP)))[:, None]
+    g *= (np.float32(rate) / np.sqrt(moved + np.float32(DAMP)))[:, None]
+    g += old
+    table[rows] = g
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -230,6 +251,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def with_one(x: np.ndarray) -> np.ndarray:
+    """The rows with a last column of ones, for the biases."""
+    out = np.empty((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1], out[:, -1] = x, 1
+    return out
+
+
+def log_one_and_exp(x: np.ndarray) -> np.ndarray:
+    """log(1 + exp(x)), without overflow."""
+    return np.maximum(x, 0) + np.log(1 + np.exp(-np.abs(x)))
+
+
 def contexts(classes: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The two classes before each token; before a text stand ends."""
     one, two = np.roll(classes, 1), np.roll(classes, 2)
@@ -245,13 +278,13 @@ def nce_batch(model: list[np.ndarray], moved: list[np.ndarray], v: Vocabulary, o
     vec, pos, out, bias, node = model
     n, scale, pace = len(word), rate * 256 / len(word), STEP * rate / RATE
     near = Groups(np.concatenate([one, two]))
-    vectors = vec[near.rows]
-    a, b = vectors[near.which[:n]], vectors[near.which[n:]]
+    vectors = vec.take(near.rows, axis=0)
+    a, b = vectors.take(near.which[:n], axis=0), vectors.take(near.which[n:], axis=0)
     q = a * pos[0] + b * pos[1]
     bar = bias - log_noise - np.float32(np.log(len(noise)))
     leaf, word = word - v.classes, np.minimum(word, v.classes)
-    own = out[word]
-    up = 1 - sigmoid(np.einsum("ij,ij->i", q, own) + bar[word])
+    own = out.take(word, axis=0)
+    up = 1 - sigmoid(np.einsum("ij,ij->i", q, own) + bar.take(word))
     down = q @ out[noise].T
     down += bar[noise]
     down = np.negative(sigmoid(down), out=down)
@@ -265,11 +298,11 @@ def nce_batch(model: list[np.ndarray], moved: list[np.ndarray], v: Vocabulary, o
     inside = np.flatnonzero(leaf >= 0)
     inside = inside[np.argsort(-v.deep[leaf[inside]], kind="stable")]
     counts, inner, side, rows, columns, top_side = way(v, leaf[inside])
-    qi, g_in = np.column_stack([q[inside], np.ones(len(inside), np.float32)]), np.zeros((len(inside), WIDTH), np.float32)
+    qi, g_in = with_one(q.take(inside, axis=0)), np.zeros((len(inside), WIDTH), np.float32)
     if len(inner):
         deep = Groups(inner)
-        old = node[deep.rows]
-        steps, at = old[deep.which], 0
+        old = node.take(deep.rows, axis=0)
+        steps, at = old.take(deep.which, axis=0), 0
         for k in counts:
             x = steps[at : at + k]
             g = side[at : at + k] - sigmoid(np.einsum("ij,ij->i", qi[:k], x))
@@ -279,8 +312,8 @@ def nce_batch(model: list[np.ndarray], moved: list[np.ndarray], v: Vocabulary, o
         step_rows(node, moved[2], moved[3], deep.rows, old, deep.sums(steps), deep.n, pace)
     if len(rows):
         old = node[v.top :]
-        every = np.zeros((len(qi), len(old)), np.float32)
-        every[rows, columns] = top_side - sigmoid((qi @ old.T)[rows, columns])
+        every, cells = np.zeros((len(qi), len(old)), np.float32), rows * len(old) + columns
+        every.ravel()[cells] = top_side - sigmoid((qi @ old.T).ravel().take(cells))
         g_in += every @ old[:, :-1]
         times = np.bincount(columns, minlength=len(old))
         used = np.flatnonzero(times)
@@ -378,20 +411,26 @@ def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, rate: float = RA
 def log_probabilities(model: list[np.ndarray], one: np.ndarray, two: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Normalised natural log-probabilities of classes; each distinct context is normalised once."""
     vec, pos, out, bias = model[:4]
-    q = lambda a, b: vec[a] * pos[0] + vec[b] * pos[1]
+    q = lambda a, b: with_one(vec.take(a, axis=0) * pos[0] + vec.take(b, axis=0) * pos[1])
+    weights = np.column_stack([out, bias])
+    across, ones = np.ascontiguousarray(weights.T), np.ones(len(weights), np.float32)
+    longest = np.sqrt(np.einsum("ij,ij->i", weights, weights).max())
     pair, which = np.unique(one * len(vec) + two, return_inverse=True)
+    first, second = np.divmod(pair, len(vec))
     z = np.empty(len(pair))
-    for i in range(0, len(pair), 512):  # so that a block stays in the processor's cache
-        p = pair[i : i + 512]
-        s = q(p // len(vec), p % len(vec)) @ out.T
-        s += bias
+    for i in range(0, len(pair), 256):  # so that a block stays in the processor's cache
+        x = q(first[i : i + 256], second[i : i + 256])
+        s = x @ across
+        if longest * np.sqrt(np.einsum("ij,ij->i", x, x).max()) < 60:  # no score is beyond it, so no exponential leaves the range of its type
+            z[i : i + 256] = np.log(np.exp(s, out=s) @ ones)
+            continue
         top = s.max(axis=1)
         s -= top[:, None]
-        z[i : i + 512] = top + np.log(np.exp(s, out=s).sum(axis=1))
+        z[i : i + 256] = top + np.log(np.exp(s, out=s) @ ones)
     score = np.empty(len(word))
-    for i in range(0, len(word), 65536):
-        s = slice(i, i + 65536)
-        score[s] = (q(one[s], two[s]) * out[word[s]]).sum(axis=1) + bias[word[s]]
+    for i in range(0, len(word), 8192):
+        s = slice(i, i + 8192)
+        score[s] = np.einsum("ij,ij->i", q(one[s], two[s]), weights.take(word[s], axis=0))
     return score - z[which]
 
 
@@ -401,17 +440,17 @@ def tree_log_probabilities(model: list[np.ndarray], v: Vocabulary, one: np.ndarr
     p = np.zeros(len(leaf))
     for i in range(0, len(leaf), 4096):
         own = i + np.argsort(-v.deep[leaf[i : i + 4096]], kind="stable")
-        q = np.column_stack([vec[one[own]] * pos[0] + vec[two[own]] * pos[1], np.ones(len(own), np.float32)])
+        q = with_one(vec.take(one[own], axis=0) * pos[0] + vec.take(two[own], axis=0) * pos[1])
         counts, inner, side, rows, columns, top_side = way(v, leaf[own])
-        deep, at = Groups(inner), 0
-        old = node[deep.rows]
+        at, sums = 0, np.zeros(len(own))
         for k in counts:
-            s = np.einsum("ij,ij->i", q[:k], old[deep.which[at : at + k]])
-            p[own[:k]] -= np.logaddexp(0, np.where(side[at : at + k] == 1, -s, s))
+            s = np.einsum("ij,ij->i", q[:k], node.take(inner[at : at + k], axis=0))
+            sums[:k] += log_one_and_exp(np.where(side[at : at + k] == 1, -s, s))
             at += k
         if len(rows):
-            s = (q @ node[v.top :].T)[rows, columns]
-            p[own] -= np.bincount(rows, np.logaddexp(0, np.where(top_side == 1, -s, s)), minlength=len(own))
+            s = (q @ node[v.top :].T).ravel().take(rows * (len(node) - v.top) + columns)
+            sums += np.bincount(rows, log_one_and_exp(np.where(top_side == 1, -s, s)), minlength=len(own))
+        p[own] = -sums
     return p
 
 

@@ -285,6 +285,38 @@ def test_language_model_sums_many_and_few_parts():
     assert np.abs(groups.sums(x) - want).max() < 1e-4 and (groups.rows[groups.which] == rows).all()
 
 
+def test_language_model_finds_words_and_scores_without_sorting(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    words = [f"w{i}" for i in range(3000)]
+    hashes = language_model.word_hashes(pa.array(words))
+    v = language_model.Vocabulary(hashes, np.arange(3000, 0, -1) + 4, 300, 9_000_000)
+    model, rng = language_model.start_model(v.class_counts, v.odds), np.random.default_rng(3)
+    model[4] += rng.normal(0, 0.5, model[4].shape).astype(np.float32)
+    leaf, one, two = (rng.integers(0, n, 5000) for n in (3001 - v.classes + 1, v.rare, v.rare))
+    top = np.uint64((1 << 64) - 1)
+    asked = np.concatenate([hashes, hashes + np.uint64(1), hashes - np.uint64(1), np.array([0, 1, top], dtype=np.uint64)])
+    known = {int(h): n for h, n in zip(v.hashes, v.number, strict=True)}
+
+    def no(*a, **k):
+        raise AssertionError("sorted or searched")
+
+    monkeypatch.setattr(language_model, "Groups", no)
+    got = language_model.tree_log_probabilities(model, v, one, two, leaf)
+    monkeypatch.setattr(np, "searchsorted", no)
+    assert v.numbers_of(asked).tolist() == [known.get(int(h), v.rare) for h in asked]
+    monkeypatch.undo()
+    q, want = model[0][one] * model[1][0] + model[0][two] * model[1][1], np.zeros(len(leaf))
+    for i, at in enumerate(leaf):
+        while v.parent[at] >= 0:
+            node = model[4][v.parent[at] - len(v.parent) // 2 - 1].astype(float)
+            x = q[i] @ node[:-1] + node[-1]
+            want[i] -= np.logaddexp(0, -x if v.side[at] else x)
+            at = v.parent[at]
+    assert np.abs(got - want).max() < 1e-4
+
+
 def test_lines(spark):
     rows = [(0, None), (1, ""), (2, "a b c d e f g h i j\n\nx"), (3, "A b c d e f g h i j\nx y\n\nz"), (4, "a b c d e f g h i k"), (5, "a b c d e f g h q r"), (6, "x\nx")]
     rows += [(r.doc_id + 100, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
