@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from ..lineage import cut
 
 TEST, FUNCTION = "Test", "Function"
+#: Neighbours of a node in a block, and pairs of neighbours in a task.
+BLOCK, PAIRS = 1024, 1 << 22
 NODE_ATTRIBUTES = ("node_type", "name", "path", "module", "symbol_id", "start_line", "end_line", "docstring", "num_calls", "decorators", "num_defs", "num_imports", "has_test_flag")
 
 
@@ -112,13 +114,41 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, hops: int = 2) -> DataFrame:
     """node, neighbour, distance (1 or more) without regard to direction; a node is not its own neighbour."""
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("a", "b").where("a <> b")
+    both = cut(edges.select("src", "dst").union(edges.select("dst", "src")).distinct().toDF("a", "b").where("a <> b"))
     reached = both.select(F.col("a").alias("node"), F.col("b").alias("neighbour"), F.lit(1).alias("distance"))
-    last = reached
-    for d in range(2, hops + 1):
-        last = last.join(both, F.col("neighbour") == F.col("a")).where("node <> b").select("node", F.col("b").alias("neighbour"), F.lit(d).alias("distance")).distinct()
+    if hops > 1:
+        reached = last = two_hops(both)
+    for d in range(3, hops + 1):
+        last = last.where(F.col("distance") == d - 1).join(both, F.col("neighbour") == F.col("a")).where("node <> b").select("node", F.col("b").alias("neighbour"), F.lit(d).alias("distance")).distinct()
         reached = reached.union(last)
-    return reached.groupBy("node", "neighbour").agg(F.min("distance").alias("distance"))
+    return reached.groupBy("node", "neighbour").agg(F.min("distance").alias("distance")) if hops > 2 else reached
+
+
+def two_hops(both: DataFrame) -> DataFrame:
+    """node, neighbour, distance 1 or 2, from edges (a, b) that are there in both directions.
+
+    The neighbours of a node are dealt into blocks, and each two blocks of a node are multiplied in one place; tasks are as
+    many as the pairs ask for. An end with one neighbour has no second way to any node and no edge to one at distance 2, so
+    its pairs are given as they are found; only pairs of other ends are moved and made distinct.
+    """
+    c, degree = F.col, both.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
+    tasks = int(degree.agg(F.coalesce(F.sum(c("n").cast("double") * c("n")), F.lit(0.0))).first()[0]) // PAIRS + 1
+    blocks = F.ceil(c("of") / F.lit(BLOCK))
+    dealt = both.join(degree.select(c("a").alias("b"), c("n").alias("of")), "b").join(degree, "a").select("a", "b", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("a"), blocks).alias("i"))
+    kinds = [F.collect_list(F.when(x, c("a"))) for x in (c("n") == 1, c("n") > 1)]
+    members = dealt.groupBy("b", "blocks", "i").agg(kinds[0].alias("single"), kinds[1].alias("other"))
+    left = members.select("b", "i", "single", "other", F.explode(F.sequence(F.lit(0).cast("long"), c("blocks") - 1)).alias("j"))
+    right = members.select("b", c("i").alias("j"), c("single").alias("single_2"), c("other").alias("other_2"))
+    grid = left.join(right, ["b", "j"]).repartition(tasks, "b", "i", "j")
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.select(F.explode("x").alias("node"), "y").select("node", F.explode("y").alias("neighbour"), F.lit(2).alias("distance")).where("node <> neighbour")
+
+    ways = F.array(F.struct(c("single").alias("x"), F.concat("single_2", "other_2").alias("y")), F.struct(c("other").alias("x"), c("single_2").alias("y")))
+    once = pairs(grid.select(F.explode(ways).alias("way")).select("way.x", "way.y"))
+    more = pairs(grid.where("size(other) > 0 AND size(other_2) > 0").select(c("other").alias("x"), c("other_2").alias("y")))
+    more = more.union(both.select("a", "b", F.lit(1))).groupBy("node", "neighbour").agg(F.min("distance").alias("distance"))
+    return once.union(more)
 
 
 def highlight(nodes: DataFrame, edges: DataFrame, item: str, column: str, values: list) -> DataFrame:

@@ -101,3 +101,29 @@ def test_neighbours_and_highlight(spark):
     edges = spark.createDataFrame([("a", "b", ["CALLS"]), ("b", "c", ["IMPORTS"])], "src string, dst string, etypes array<string>")
     assert {(r.node, r.neighbour): r.distance for r in code_graph.neighbours(edges).collect()} == {("a", "b"): 1, ("b", "a"): 1, ("b", "c"): 1, ("c", "b"): 1, ("a", "c"): 2, ("c", "a"): 2}
     assert {r.id for r in code_graph.highlight(None, edges, "edge", "etypes", ["IMPORTS"]).collect()} == {"b", "c"}
+
+
+def test_neighbours_of_hubs_are_dealt_out(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(code_graph, "BLOCK", 8, raising=False)
+    monkeypatch.setattr(code_graph, "PAIRS", 2000, raising=False)
+    rng = random.Random(4)
+    edges = [(f"s{i}", "hub", ["X"]) for i in range(150)] + [("hub", "top", ["X"]), ("top", "hub", ["X"]), ("hub", "hub", ["X"]), (None, "hub", ["X"])]
+    edges += [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", ["X"]) for _ in range(25)] + [(f"s{i}", "top", ["X"]) for i in range(20)]
+    near = {}
+    for a, b, _ in edges:
+        if a and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {(a, c): 2 for a in near for b in near[a] for c in near[b] if a != c} | {(a, b): 1 for a in near for b in near[a]}
+    got = code_graph.neighbours(spark.createDataFrame(edges, "src string, dst string, etypes array<string>")).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == len(want) and {(r.node, r.neighbour): r.distance for r in got} == want
+    tasks = [r.task for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < len(got) / 4
+
+
+def test_neighbours_three_hops(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "c")], "src string, dst string")
+    got = {(r.node, r.neighbour): r.distance for r in code_graph.neighbours(edges, 3).collect()}
+    assert got[("a", "e")] == got[("b", "e")] == 3 and got[("a", "d")] == 2 and got[("a", "b")] == 1 and len(got) == 20
