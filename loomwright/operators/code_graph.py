@@ -316,11 +316,36 @@ def unique_terminal(start, follow: dict, most: int) -> list | None:
 def unique_chains(links: DataFrame, most: int) -> DataFrame:
     """start, chain: for each start with one terminal. ``links`` has src, dst, ord.
 
+    Where each node on the way has one successor, chains grow backward from the terminals, a hop at a time. Only starts that
+    come upon a node with more are searched.
+    """
+    c = F.col
+    ends = cut(links.where("src IS NOT NULL").groupBy("src").agg(F.min("dst").alias("next"), F.max("dst").alias("last"), F.count_if(c("dst").isNull()).alias("nulls")))
+    lone = (c("nulls") == 0) & (c("next") == c("last"))
+    singles, forks = ends.where(lone).select("src", "next"), ends.where(~F.coalesce(lone, F.lit(False))).select("src")
+    grown = singles.join(ends.select(c("src").alias("known")), c("next") == c("known"), "left_anti").select(c("src").alias("start"), F.array("src", "next").alias("chain"))
+    chains = grown.limit(0) if most < 2 else grown
+    for _ in range(most - 2):
+        # A node has one chain at most, so the chains make the smaller side, and no key of theirs is repeated.
+        after = grown.select(c("start").alias("known"), "chain").hint("shuffle_hash")
+        grown = singles.join(after, c("next") == c("known")).select(c("src").alias("start"), F.concat(F.array("src"), "chain").alias("chain"))
+        chains = chains.union(grown)
+    if forks.isEmpty():
+        return chains
+    starts = before = forks
+    for _ in range(most - 2):
+        before = singles.join(before.select(c("src").alias("known")), c("next") == c("known")).select("src")
+        starts = starts.union(before)
+    return chains.union(searched_chains(cut(links.select("src", "dst", "ord")), cut(starts), most))
+
+
+def searched_chains(first: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """start, chain: for each of the starts (src) with one terminal.
+
     The links within ``most`` hops of a start are joined hop by hop and searched together, one group for each start.
     """
-    first = links.select("src", "dst", "ord")
     lists = first.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "dst"))), lambda x: x["dst"]).alias("onward"))
-    reach = lists.select(F.col("src").alias("start"), F.col("src").alias("node"))
+    reach = starts.select(F.col("src").alias("start"), F.col("src").alias("node"))
     frontier = reach
     for _ in range(most - 1):
         frontier = frontier.join(first, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()

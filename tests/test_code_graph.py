@@ -127,3 +127,25 @@ def test_neighbours_three_hops(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("a", "c")], "src string, dst string")
     got = {(r.node, r.neighbour): r.distance for r in code_graph.neighbours(edges, 3).collect()}
     assert got[("a", "e")] == got[("b", "e")] == 3 and got[("a", "d")] == 2 and got[("a", "b")] == 1 and len(got) == 20
+
+
+def test_chains_without_forks_are_joined_only(spark):
+    links = spark.createDataFrame([(f"{c}{i}", f"{c}{i + 1}", 0) for c in "abc" for i in range(8)] + [("x", "y", 0), ("y", "x", 0), ("z", "z", 0)], "src string, dst string, ord int")
+    chains = code_graph.unique_chains(links, 5)
+    assert "MapInPandas" not in chains._jdf.queryExecution().toString()
+    assert {r.start: r.chain for r in chains.collect()} == {f"{c}{i}": [f"{c}{j}" for j in range(i, 9)] for c in "abc" for i in range(4, 8)}
+
+
+@pytest.mark.parametrize("most", [2, 3, 5])
+def test_chains_with_forks_are_searched(spark, most):
+    import random
+
+    rng = random.Random(most)
+    links = [(f"n{rng.randrange(90)}", f"n{rng.randrange(110)}", i) for i in range(75)] + [("m1", "m2", 1), ("m1", "m2", 2), ("m0", "m1", 3), ("m3", None, 4), ("m4", "m3", 5), (None, "m0", 6)]
+    follow = {}
+    for src, dst, _ in links:
+        if src:
+            follow.setdefault(src, []).append(dst)
+    want = {s: chain for s in follow if (chain := code_graph.unique_terminal(s, follow, most))}
+    got = code_graph.unique_chains(spark.createDataFrame(links, "src string, dst string, ord int"), most).collect()
+    assert len(got) == len(want) > 10 and {r.start: r.chain for r in got} == want
